@@ -55,13 +55,10 @@ def name_words(c: Column) -> Column:
 
 
 def check_digit_ok(number: Column) -> Column:
-    """Registry number (digits only, no leading zeros) with a right check digit."""
-    weighted = F.aggregate(
-        F.sequence(F.lit(2), F.length(number)),
-        F.lit(0),
-        lambda acc, i: acc + (i - 1) * F.substr(F.reverse(number), i, F.lit(1)).cast("int"),
-    )
-    return F.length(number).between(5, 10) & (weighted % 10 == F.substr(number, F.length(number), F.lit(1)).cast("int"))
+    """Registry number (5 to 10 digits, no leading zeros) with a right check digit."""
+    n = number.cast("long")
+    weighted = sum((F.floor(n / F.lit(10**i)) % 10 * F.lit(i) for i in range(2, 10)), F.floor(n / F.lit(10)) % 10)
+    return weighted % 10 == n % 10
 
 
 def valid_number(c: Column) -> Column:

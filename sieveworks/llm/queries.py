@@ -5,9 +5,29 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import dedupe
+from . import dedupe, overlap
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    train = overlap.substances(table(spark, d, "broad_salt_validation_cases"), "case_id", "chemical_name", "cas")
+    evaluation = overlap.substances(table(spark, d, "identity_e2e_v6_72"), "case_id", "candidate_name", "candidate_cas")
+    return overlap.overlaps(train, evaluation)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a training case and an evaluation case on the same substance."""
+    return _overlaps(spark, d).select(F.col("train_id").alias("case_id_a"), F.col("eval_id").alias("case_id_b"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs and affected evaluation cases per split and source."""
+    cases = table(spark, d, "identity_e2e_v6_72").select(F.col("case_id").alias("eval_id"), "split", "source").dropDuplicates(["eval_id"])
+    per = _overlaps(spark, d).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("slips") > 0).alias("with_slip"))
+    return cases.join(per, "eval_id").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.sum("with_slip").alias("n_with_slip"), F.count(F.lit(1)).alias("n_eval_cases"))
+
 
 COPIED = [
     ("broad_salt_validation_cases", "case_id", "rule_id", "chemical_name", "cas", "reference_membership"),
@@ -29,5 +49,5 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.collapsed(_records(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p6_found, p6_records)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p6_found, p6_records)}
 SQL: dict[str, str] = {}

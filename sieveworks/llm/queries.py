@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import dedupe, overlap
+from . import dedupe, mojibake, overlap
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -29,6 +29,32 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return cases.join(per, "eval_id").groupBy("split", "source").agg(F.sum("n").alias("n_pairs"), F.sum("with_slip").alias("n_with_slip"), F.count(F.lit(1)).alias("n_eval_cases"))
 
 
+GARBLED = [
+    ("broad_salt_rules_curated_13", "rule_id", ["regulatory_source", "notes"]),
+    ("broad_salt_validation_cases", "case_id", ["notes"]),
+]
+
+
+def _garbled(spark: SparkSession, d: str) -> DataFrame:
+    rows = [
+        table(spark, d, name).select(F.lit(name).alias("table_name"), F.col(key).cast("string").alias("record_id"), F.lit(field).alias("field_name"), F.col(field).cast("string").alias("text")).filter(F.col("record_id").isNotNull())
+        for name, key, fields in GARBLED
+        for field in fields
+    ]
+    rows = reduce(DataFrame.unionByName, rows)
+    return mojibake.garbled(rows, mojibake.fit(rows, "text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Fields that hold garbled text."""
+    return _garbled(spark, d).select("table_name", "record_id", "field_name")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled fields with the restored text, null where bytes were lost, and the encoding pairs."""
+    return _garbled(spark, d)
+
+
 COPIED = [
     ("broad_salt_validation_cases", "case_id", "rule_id", "chemical_name", "cas", "reference_membership"),
     ("chemical_group_candidates_seed", "seed_id", "target_rule_id", "candidate_name", "candidate_cas", "gold_label"),
@@ -49,5 +75,5 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.collapsed(_records(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p6_found, p6_records)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_restored, p6_found, p6_records)}
 SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ row; the fitted table is bounded by states x blocks x characters in use.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -94,14 +95,18 @@ def restore(span: str, pair: tuple[str, str, int]) -> str | None:
     return span
 
 
+_ODD = re.compile("[\x80-\x9f]|[\x80-\xff]{3}|[A-Za-z][\u0400-\u04ff]|[\u0400-\u04ff][A-Za-z]")
+
+
 def looks_garbled(text: str) -> bool:
     """Signs that keep a text out of the clean state's fit.
 
-    Lost bytes, control characters, a run that reads as UTF-8 under a one-byte
+    Lost bytes, control characters, three Latin-1 characters in a row, Latin
+    and Cyrillic letters in one word, a run that reads as UTF-8 under a one-byte
     encoding, or most runs reading so under a two-byte one, where single words
     may do so by chance.
     """
-    if LOST in text or any("\x80" <= c <= "\x9f" for c in text):
+    if LOST in text or _ODD.search(text):
         return True
     runs = [r for r in "".join(c if c > "\x7f" else " " for c in text).split() if len(r) > 1]
     for p in PAIRS:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import dedupe, mojibake, overlap
+from ..session import cut, table
+from . import dedupe, mixing, mojibake, overlap, tokens, truncation
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -75,5 +75,51 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.collapsed(_records(spark, d))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_restored, p6_found, p6_records)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return tokens.encoded(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")
+
+
+def p8_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, tokens and exact round trips by source and language."""
+    docs = table(spark, d, "documents").withColumn("lang", F.lower("lang"))
+    per = tokens.sizes(docs, "doc_id", "text", ["source", "lang"])
+    return per.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.count_if("same").alias("n_round_trip"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    sizes = cut(tokens.sizes(table(spark, d, "documents"), "doc_id", "text", ["source"]).drop("same"))
+    planned = mixing.plan(sizes, table(spark, d, "mix_targets"))
+    return mixing.repeats(sizes, planned), planned
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every copy of every document drawn, in shuffled order."""
+    counted, _ = _mixed(spark, d)
+    return mixing.mixture(counted).withColumnRenamed("record_id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the sources."""
+    return mixing.shares(*_mixed(spark, d))
+
+
+def _truncated(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return truncation.truncated(docs, "doc_id", "text", "lang").withColumnRenamed("record_id", "doc_id")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents cut off before their end."""
+    return _truncated(spark, d).filter("cut").select("doc_id").distinct()
+
+
+def p10_report(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut documents per source, of those that aren't blank."""
+    docs = table(spark, d, "documents").select("doc_id", "source").dropDuplicates(["doc_id"])
+    per = _truncated(spark, d).select("doc_id", "cut").dropDuplicates(["doc_id"]).join(docs, "doc_id")
+    return per.groupBy("source").agg(F.count(F.lit(1)).alias("n_texts"), F.count_if("cut").alias("n_cut")).withColumn("rate", F.round(F.col("n_cut") / F.col("n_texts"), 6))
+
+
+QUERIES = {q.__name__: q for q in (p1_found, p1_report, p2_found, p2_restored, p6_found, p6_records, p8_ids, p8_sizes, p9_mix, p9_shares, p10_found, p10_report)}
 SQL: dict[str, str] = {}

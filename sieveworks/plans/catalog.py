@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality
+from . import data_quality, evaluation, screening
 
-FLAGSHIP = "p4_report"
-MODULES = [data_quality]
+FLAGSHIP = "screen_threshold_status"
+MODULES = [data_quality, screening, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

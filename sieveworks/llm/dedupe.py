@@ -87,9 +87,9 @@ def classes(rows: DataFrame) -> DataFrame:
     first = rows.mapInArrow(_invariants, "table_name string, record_id string, rule string, name string, number string, label string, cheap long")
     several = first.groupBy("table_name", "cheap").agg(F.min("record_id").alias("lo"), F.max("record_id").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").drop("lo", "hi")
     inside = spread_join(first, several, ["table_name", "cheap"], "record_id")
-    name, number = names.substance(names.plain(F.col("name")), names.plain(F.col("number")))
-    bare = lambda c: F.trim(F.regexp_replace(names.plain(F.col(c)), r"[^\p{L}\p{N}]+", " "))
-    exact = F.xxhash64(bare("rule"), F.lit("|"), names.name_words(name), F.lit("|"), names.digits(number), F.lit("|"), bare("label"))
+    inside = names.with_plain(names.with_substance(inside, "name", "number"), ["rule", "label"])
+    bare = lambda c: F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    exact = F.xxhash64(bare("rule"), F.lit("|"), names.name_words(F.col("name")), F.lit("|"), names.digits(F.col("number")), F.lit("|"), bare("label"))
     return inside.select("table_name", "record_id", "cheap", exact.alias("exact"))
 
 

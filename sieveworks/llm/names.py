@@ -1,13 +1,16 @@
-"""Canonical forms of a substance's name and registry number, as column expressions.
+"""Canonical forms of a substance's name and registry number.
 
 Name and number may stand in each other's field and be written in many ways;
-``substance`` tells them apart and ``name_words`` / ``digits`` bring each to
-one form. Nulls and blanks are empty strings here.
+``with_substance`` tells them apart and ``name_words`` / ``digits`` bring each
+to one form. Nulls and blanks are empty strings here. The steps are projections
+of their own, so that the optimizer evaluates each expression once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import DASH, narrow
@@ -20,31 +23,30 @@ _SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _JOIN = r"(?<=[0-9]|[0-9][a-z])[ ,.:;'’]+(?=[0-9])|(?<=[\p{L}\p{N}])[,.:;](?=[\p{L}\p{N}])| +[,.:](?=[\p{L}\p{N}])| *[-/_]+ *|(?<=[0-9]) +(?=\p{L})|(?<=(?:^|[ ,;(\[\"'「*])\p{L}) +(?=\p{L})"
 
 
-def plain(c: Column) -> Column:
-    """Lower case, narrow, one kind of blank and dash, no invisible characters."""
-    s = F.lower(narrow(F.coalesce(c, F.lit(""))))
-    odd = s.rlike(r"[^\x20-\x7e]")
-    cleaned = F.regexp_replace(F.regexp_replace(F.regexp_replace(s, _HIDDEN, ""), _SPACE, " "), DASH, "-")
-    return F.trim(F.when(odd, cleaned).otherwise(s))
+def with_plain(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with the columns in lower case, narrow, with one kind of blank and dash and no invisible characters."""
+    df = df.withColumns({c: F.lower(narrow(F.coalesce(F.col(c).cast("string"), F.lit("")))) for c in columns})
+    clean = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, _HIDDEN, ""), _SPACE, " "), DASH, "-")
+    return df.withColumns({c: F.trim(F.when(F.col(c).rlike(r"[^\x20-\x7e]"), clean(F.col(c))).otherwise(F.col(c))) for c in columns})
 
 
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-def substance(a: Column, b: Column) -> tuple[Column, Column]:
-    """(name, number) of two plain fields, whichever stands in which.
+def with_substance(df: DataFrame, name: str, number: str) -> DataFrame:
+    """df with the two fields plain and in their places, whichever stood in which.
 
     A number has five or more digits and, but for words around it, less
     letters than digits; a field that only says it is missing is empty.
     """
-    n_digits = lambda c: F.length(digits(c))
-    n_letters = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
-    missing = lambda c: F.regexp_replace(c, "[^\\p{L}\\p{N}/.<>]", "").rlike(MISSING)
-    a, b = F.when(missing(a), "").otherwise(a), F.when(missing(b), "").otherwise(b)
-    looks = lambda c: c.rlike(r"[0-9]") & (n_digits(c) >= 5) & ((n_letters(c) < n_digits(c)) | ~c.rlike(r"\p{L}{12}"))
-    swapped = (looks(a) & ~looks(b)) | ((a == "") & ~looks(b))
-    return F.when(swapped, b).otherwise(a), F.when(swapped, a).otherwise(b)
+    df = with_plain(df, [name, number])
+    df = df.withColumns({c: F.when(~F.col(c).rlike(r"[\p{L}\p{N}]") | F.col(c).rlike(MISSING), "").otherwise(F.col(c)) for c in (name, number)})
+    df = df.withColumns({f"_{i}": digits(F.col(c)) for i, c in enumerate((name, number))})
+    looks = [(F.length(f"_{i}") >= 5) & (~F.col(c).rlike(r"\p{L}{12}") | (F.length(F.regexp_replace(c, r"[^\p{L}]", "")) < F.length(f"_{i}"))) for i, c in enumerate((name, number))]
+    df = df.withColumns({"_0": looks[0], "_1": looks[1]})
+    df = df.withColumn("_0", ~F.col("_1") & (F.col("_0") | (F.col(name) == "")))
+    return df.withColumns({name: F.when(F.col("_0"), F.col(number)).otherwise(F.col(name)), number: F.when(F.col("_0"), F.col(name)).otherwise(F.col(number))}).drop("_0", "_1")
 
 
 def name_words(c: Column) -> Column:
@@ -61,7 +63,7 @@ def check_digit_ok(number: Column) -> Column:
     return weighted % 10 == n % 10
 
 
-def valid_number(c: Column) -> Column:
-    """The digits of a field if they make a valid registry number, else null."""
-    bare = F.regexp_replace(digits(c), "^0+", "")
-    return F.when(F.length(bare).between(5, 10), F.when(check_digit_ok(bare), bare))
+def with_valid_number(df: DataFrame, number: str) -> DataFrame:
+    """df with the column reduced to the digits of a valid registry number, or null."""
+    df = df.withColumn(number, F.regexp_replace(digits(F.col(number)), "^0+", ""))
+    return df.withColumn(number, F.when(F.length(number).between(5, 10), F.col(number))).withColumn(number, F.when(check_digit_ok(F.col(number)), F.col(number)))

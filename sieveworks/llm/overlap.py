@@ -41,10 +41,9 @@ SEARCHED = 50_000
 
 def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFrame:
     """(record_id, number, name): valid registry number or null, sorted words or null; written once."""
-    a, b = names.substance(names.plain(F.col(name).cast("string")), names.plain(F.col(number).cast("string")))
-    words = names.name_words(a)
-    one = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), names.valid_number(b).alias("number"), F.when(words != "", words).alias("name"))
-    return cut(one.dropDuplicates(["record_id"]))
+    one = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), F.col(name).cast("string").alias("name"), F.col(number).cast("string").alias("number"))
+    one = names.with_valid_number(names.with_substance(one, "name", "number"), "number").withColumn("name", names.name_words(F.col("name")))
+    return cut(one.select("record_id", "number", F.when(F.col("name") != "", F.col("name")).alias("name")).dropDuplicates(["record_id"]))
 
 
 def _half(length: Column) -> Column:

@@ -61,6 +61,18 @@ def _members(field: str, lo: int, cuts: np.ndarray, widths: np.ndarray, raw: byt
     return [_clean(x) for x in out]
 
 
+def _wide_blanks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where blanks of two or three bytes begin and end: no-break, typographic, zero-width and ideographic ones."""
+    two = np.concatenate([data[1:], [0]])
+    three = np.concatenate([two[1:], [0]])
+    short = (data == 0xC2) & ((two == 0xA0) | (two == 0x85))
+    long = (two == 0x80) & (((data == 0xE2) & (((three >= 0x80) & (three <= 0x8D)) | (three == 0xAF))) | ((data == 0xE3) & (three == 0x80)))
+    ends = np.zeros(len(data), bool)
+    ends[np.flatnonzero(short) + 1] = True
+    ends[np.flatnonzero(long) + 2] = True
+    return short | long, ends
+
+
 def delimiters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions and byte widths of the delimiters outside quotes.
 
@@ -80,9 +92,9 @@ def delimiters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = np.zeros(n, bool)
     ends = offsets[1:] - 1
     last[ends[(ends >= 0) & (np.diff(offsets) > 0)]] = True
-    wide_blank = (after == 0xC2) | (after == 0xE2) | (after == 0xE3)  # no-break, thin and ideographic blanks begin so
-    before_blank = _SPACE[prev] | first
-    after_blank = _SPACE[after] | last | wide_blank
+    begins, finishes = _wide_blanks(data)
+    before_blank = _SPACE[prev] | first | np.concatenate([[False], finishes[:-1]])
+    after_blank = _SPACE[after] | last | np.concatenate([begins[1:], [False]])
     comma = (data == 44) & (after_blank | before_blank | (prev == 34) | (after == 34))
     hit = _ALWAYS[data] | (_SPACED[data] & before_blank & after_blank) | comma
     width = np.ones(n, np.int64)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, evaluation, screening
+from . import data_quality, evaluation, ingestion, screening
 
 FLAGSHIP = "screen_threshold_status"
-MODULES = [data_quality, screening, evaluation]
+MODULES = [data_quality, screening, evaluation, ingestion]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -34,16 +34,16 @@ from .dedupe import spread_join
 from .fmindex import Index
 
 #: Texts of one shard; its index takes about 1.5 kB a text while it is built.
-SHARD_TEXTS = 40_000
+SHARD_TEXTS = 12_000
 #: Patterns searched at once.
 SEARCHED = 50_000
 
 
 def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFrame:
-    """(record_id, number, name): valid registry number or null, sorted words or null; written once."""
+    """(record_id, number, name): valid registry number or null, sorted words or null; written once, repeated deliveries as they are."""
     one = df.filter(F.col(record_id).isNotNull()).select(F.col(record_id).cast("string").alias("record_id"), F.col(name).cast("string").alias("name"), F.col(number).cast("string").alias("number"))
     one = names.with_valid_number(names.with_substance(one, "name", "number"), "number").withColumn("name", names.name_words(F.col("name")))
-    return cut(one.select("record_id", "number", F.when(F.col("name") != "", F.col("name")).alias("name")).dropDuplicates(["record_id"]))
+    return cut(one.select("record_id", "number", F.when(F.col("name") != "", F.col("name")).alias("name")))
 
 
 def _half(length: Column) -> Column:
@@ -64,13 +64,13 @@ def _moved(words: Column, n: Column, i: Column, j: Column) -> Column:
 
 
 def _entries(split: DataFrame, indexed: bool) -> DataFrame:
-    """(route, kind, text, tail, key): one row per distinct text and shard it belongs to or visits.
+    """(route, kind, flag, text, tail, key): one row per distinct text and shard it belongs to or visits.
 
     kind n: numbers, exact; l: slips on the left; r: reversed names, slips on
     the right. key: hash of number or of (name, has a valid number).
     """
     number = split.filter(F.col("number").isNotNull()).select("number").distinct().select(
-        F.xxhash64(F.lit("n"), "number").alias("route"), F.lit("n").alias("kind"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key")
+        F.xxhash64(F.lit("n"), "number").alias("route"), F.lit("n").alias("kind"), F.lit(False).alias("flag"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key")
     )
     name = split.filter(F.col("name").isNotNull()).select("name", F.col("number").isNotNull().alias("valid")).distinct()
     name = name.withColumn("key", F.xxhash64(F.lit("w"), "name", "valid"))
@@ -83,7 +83,7 @@ def _entries(split: DataFrame, indexed: bool) -> DataFrame:
     size = F.length("text")
     name = name.withColumn("tail", F.explode(F.array_distinct(F.array(_half(size), _half(size - 1)))))
     route = F.xxhash64("kind", "flag", "tail", F.right("text", F.col("tail")), names.digits(F.col("text")))
-    return number.unionByName(name.select(route.alias("route"), "kind", "text", "tail", "key"))
+    return number.unionByName(name.select(route.alias("route"), "kind", "flag", "text", "tail", "key"))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     # one text may stand for several keys and tails
                     text, which = np.unique(mine["text"].to_numpy(object), return_inverse=True)
-                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which.reshape(-1), "entry": mine["key"].to_numpy(), "route_e": mine["route"].to_numpy()}))
+                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which.reshape(-1), "entry": mine["key"].to_numpy(), "tail": mine["tail"].to_numpy(), "flag": mine["flag"].to_numpy()}))
             if index[kind] is None:
                 continue
             idx, keys = index[kind]
@@ -112,19 +112,20 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p, t, e = idx.search(text, tails, kind != "n")
             if not len(p):
                 continue
-            hit = pd.DataFrame({"query": part["key"].to_numpy()[p], "route_q": part["route"].to_numpy()[p], "t": t, "slips": e}).merge(keys, on="t")
-            hit = hit[hit["route_q"] == hit["route_e"]]
+            # tails and digits of a match agree, so with the same length of tail and flag it has the same route
+            hit = pd.DataFrame({"query": part["key"].to_numpy()[p], "tail": tails[p], "flag": part["flag"].to_numpy()[p], "t": t, "slips": e}).merge(keys, on=["t", "tail", "flag"])
             if len(hit):
                 yield pa.RecordBatch.from_arrays([pa.array(hit["query"]), pa.array(hit["entry"]), pa.array(hit["slips"].astype(np.int32)), pa.array([kind] * len(hit))], ["query", "entry", "slips", "kind"])
 
     for b in batches:
         df = b.to_pandas()
-        change = np.flatnonzero(np.diff(df["shard"].to_numpy())) + 1
+        at = df["shard"].to_numpy().astype(np.int64) << 32 | df["part"].to_numpy()
+        change = np.flatnonzero(np.diff(at)) + 1
         for part in np.split(np.arange(len(df)), change) if len(df) else []:
-            part = df.iloc[part[0] : part[-1] + 1]
-            if part["shard"].iloc[0] != shard:
+            here, part = at[part[0]], df.iloc[part[0] : part[-1] + 1]
+            if here != shard:
                 yield from flush()
-                shard, held, index = part["shard"].iloc[0], [], {}
+                shard, held, index = here, [], {}
             texts, pats = part[part["side"] == 0], part[part["side"] == 1]
             if len(texts):
                 held.append(texts)
@@ -139,17 +140,16 @@ def matched_keys(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(query, entry, slips, kind): keys of training and evaluation texts that match."""
     texts, patterns = cut(_entries(evaluation, True)), _entries(train, False)
     n_shards = max(1, -(-texts.count() // SHARD_TEXTS))
-    shard = lambda df: df.withColumn("shard", F.pmod("route", F.lit(n_shards)))
+    shard = lambda df: df.withColumn("shard", F.pmod("route", F.lit(n_shards)).cast("int"))
     sizes = shard(texts).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
     # a shard that outgrew its bound, by a half that very many names share, is cut into parts
     parts = F.ceil(F.col("n") / F.lit(2 * SHARD_TEXTS)).cast("int")
-    grown = F.broadcast(sizes.filter(F.col("n") > 2 * SHARD_TEXTS).select("shard", parts.alias("parts")))
+    grown = F.broadcast(sizes.filter(F.col("n") > 2 * SHARD_TEXTS).select("shard", parts.alias("parts")))  # at most texts / (2 SHARD_TEXTS) rows
     width = F.coalesce("parts", F.lit(1))
-    number = lambda c: F.xxhash64("shard", c)
-    a = shard(texts).join(grown, "shard", "left").withColumn("shard", number(F.pmod(F.xxhash64("text"), width).cast("int"))).withColumn("side", F.lit(0))
-    b = shard(patterns).join(grown, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("shard", number(F.col("part"))).withColumn("side", F.lit(1))
-    cols = ["shard", "side", "route", "kind", "text", "tail", "key"]
-    both = a.select(cols).unionByName(b.select(cols)).repartition(max(shuffle_width(train.sparkSession), 1), "shard").sortWithinPartitions("shard", "side")
+    a = shard(texts).join(grown, "shard", "left").withColumn("part", F.pmod(F.xxhash64("text"), width).cast("int")).withColumn("side", F.lit(0))
+    b = shard(patterns).join(grown, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("side", F.lit(1))
+    cols = ["shard", "part", "side", "kind", "flag", "text", "tail", "key"]
+    both = a.select(cols).unionByName(b.select(cols)).repartition(max(shuffle_width(train.sparkSession), 1), "shard", "part").sortWithinPartitions("shard", "part", "side")
     return both.mapInArrow(_stream, "query long, entry long, slips int, kind string")
 
 

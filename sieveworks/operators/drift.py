@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
+from ..session import cut
 
 
 def path_values(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
@@ -54,13 +55,14 @@ def schema_changes(values: DataFrame, feed: str, seq: str, line: str, identity:
     of the records (by ``identity``) that are in both files and have either
     value; the best such partner counts, ties by name.
     """
+    values = cut(values)  # parsed once, used by all that follows
     per_file = values.groupBy(feed, seq, "path").agg(F.min(F.when(F.col("kind") != "null", F.col("kind"))).alias("lo"), F.max(F.when(F.col("kind") != "null", F.col("kind"))).alias("hi"))
     per_file = per_file.withColumn("kind", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("|", "lo", "hi"))).drop("lo", "hi")
     files = values.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(Window.partitionBy(feed).orderBy(seq)))
     steps = files.filter(F.col("prev").isNotNull())
     now = per_file.join(steps, [feed, seq]).select(feed, seq, "path", F.col("kind").alias("kind_after"))
     before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "path", F.col("kind").alias("kind_before"), F.lit(True).alias("was"))
-    both = now.withColumn("is", F.lit(True)).join(before, [feed, seq, "path"], "full")
+    both = cut(now.withColumn("is", F.lit(True)).join(before, [feed, seq, "path"], "full"))
     gone = both.filter(F.col("is").isNull()).select(feed, seq, F.col("path").alias("field_before"))
     come = both.filter(F.col("was").isNull()).select(feed, seq, F.col("path").alias("field_after"))
     retyped = both.filter(F.col("is") & F.col("was") & (F.col("kind_before") != "") & (F.col("kind_after") != "") & (F.col("kind_before") != F.col("kind_after")))
@@ -84,6 +86,7 @@ def schema_changes(values: DataFrame, feed: str, seq: str, line: str, identity:
     )
     best = lambda side, other: F.row_number().over(Window.partitionBy(feed, seq, side).orderBy(F.desc("same"), other))
     renamed = scored.withColumn("a", best("field_before", "field_after")).withColumn("b", best("field_after", "field_before")).filter("a = 1 and b = 1").select(feed, seq, "field_before", "field_after")
+    renamed = cut(renamed)
     shape = lambda df, kind, x, y: df.select(feed, seq, F.lit(kind).alias("change_kind"), x.alias("field_before"), y.alias("field_after"))
     return (
         shape(come.join(renamed, [feed, seq, "field_after"], "left_anti"), "added", F.lit(""), F.col("field_after"))

@@ -21,10 +21,10 @@ NARROW = 3
 
 
 def _codes(texts: list[str], table: dict[str, int]) -> np.ndarray:
-    """Symbols of the texts on end, each followed by a mark; unknown characters get -1."""
+    """Symbols of the texts on end, each followed by a mark; unknown letters get -1, other unknown characters -2."""
     points = np.frombuffer(("\x00".join(texts) + "\x00").encode("utf-32-le"), np.uint32)
     known, inverse = np.unique(points, return_inverse=True)
-    symbols = np.array([table.get(chr(p), -1) if p else MARK for p in known.tolist()], np.int64)
+    symbols = np.array([table.get(chr(p), -1 if chr(p).isalpha() else -2) if p else MARK for p in known.tolist()], np.int64)
     return symbols[inverse.reshape(-1)]
 
 
@@ -153,5 +153,5 @@ class Index:
         return out
 
     def _alpha(self, c: np.ndarray) -> np.ndarray:
-        """Letters; characters that no text has may be letters too."""
-        return (c < 0) | self.is_letter[np.maximum(c, 0)]
+        """Letters, also those that no text has."""
+        return (c == -1) | self.is_letter[np.maximum(c, 0)]

@@ -113,4 +113,33 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (p3_found, p3_sizes, p4_found, p4_report, p5_found, p5_table, p7_found, p7_report)}
-SQL: dict[str, str] = {}
+_BL = r"[\s\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+_strip = lambda c: f"regexp_replace(regexp_replace({c}, '^{_BL}+', ''), '{_BL}+$', '')"
+_key = lambda c: f"nullif(lower({_strip(c)}), '')"
+_ORPHANS = f"""with r as ({" union all ".join(f"select '{t}' as table_name, {i} as record_id, {_key(k)} as k, '{g}' as target, loaded_at from {t}" for t, i, k, g in REFERENCES)}),
+o as (select table_name, record_id, k, target, min(loaded_at) as seen_at from r where k is not null group by 1, 2, 3, 4),
+g as ({" union all ".join(f"select '{t}' as target, {_key(k)} as k, {f} as first_at, {x or 'null::timestamp'} as deleted_at from {t}" for t, k, f, x in TARGETS)}
+ union all select table_name, {_key("key_value")}, null::timestamp, deleted_at from key_deletions),
+m as (select target, k, min(first_at) as first_at, min(deleted_at) as deleted_at from g group by 1, 2 having min(first_at) is not null),
+f as (select table_name, record_id, seen_at, case when first_at is null then 'missing' when deleted_at <= seen_at then 'deleted' when first_at > seen_at then 'late' end as reason from o left join m on o.target = m.target and o.k = m.k)
+"""
+_value = lambda c: f"(select case when v = 'true' then '1' when v = 'false' then '0' else v end from (select lower(regexp_replace({_strip(f"coalesce(cast({c} as varchar), '')")}, '[\\x{{2010}}-\\x{{2015}}\\x{{2212}}\\x{{fe58}}\\x{{fe63}}\\x{{ff0d}}\\x{{ad}}]', '-', 'g')) as v))"
+
+
+def _copies_sql() -> str:
+    joins, rows = [], []
+    for n, (dataset, (first, second, key, fields)) in enumerate(COPIES.items()):
+        one = lambda t: f"(select {_strip(key)} as k, {', '.join(f'min({_value(f)}) as {f}' for f in fields)} from {t} where {key} is not null group by 1)"
+        joins.append(f"j{n} as (select coalesce(a.k, b.k) as record_id, a.k as ak, b.k as bk, {', '.join(f'a.{f} as a_{f}, b.{f} as b_{f}' for f in fields)} from {one(first)} a full join {one(second)} b on a.k = b.k)")
+        rows.append(f"select '{dataset}' as dataset, record_id, 'only_first' as difference from j{n} where bk is null union all select '{dataset}', record_id, 'only_second' from j{n} where ak is null")
+        rows += [f"select '{dataset}', record_id, '{f}' from j{n} where ak is not null and bk is not null and a_{f} <> b_{f}" for f in fields]
+    return f"with {', '.join(joins)}, f as ({' union all '.join(rows)})"
+
+
+_COPIES = _copies_sql()
+SQL = {
+    "p4_found": _ORPHANS + "select table_name, record_id, reason from f where reason is not null",
+    "p4_report": _ORPHANS + "select table_name, strftime(seen_at, '%Y-%m') as month, reason, count(*) as n from f where reason is not null group by 1, 2, 3",
+    "p7_found": _COPIES + " select dataset, record_id, difference from f",
+    "p7_report": _COPIES + " select dataset, difference, count(*) as n from f group by 1, 2",
+}

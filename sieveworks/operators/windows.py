@@ -1,7 +1,7 @@
 """Versions, priorities, carried values and samples.
 
-A window's partition is one version key, one text key or one user; where a key
-may hold most rows, an aggregate takes the window's place.
+Where a key may hold most rows, an aggregate takes a window's place, or windows
+run within blocks of the key and are put together from one row a block.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, shuffle_width
 
 def latest(df: DataFrame, version: Column, n: int = 2) -> DataFrame:
     """Rows of the n latest versions with their rank (1 is the latest); the versions are found by an aggregate of their own."""
@@ -30,25 +31,46 @@ def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], values: S
     return df.groupBy(*by).agg(F.min(F.struct(*order, *[v for v in values if v not in order])).alias("_m"), F.count(F.lit(1)).alias("n_copies")).select(*by, "_m.*", "n_copies")
 
 
+def in_blocks(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """df with _block: rows in ranges of (by, order), so that a hot key spans many tasks. Written once, as ranges are sampled."""
+    n = shuffle_width(df.sparkSession)
+    return cut(df.repartitionByRange(n, by, *order).withColumn("_block", F.spark_partition_id()))
+
+
 def carried(df: DataFrame, by: str, order: Sequence[str], starts: Column, value: Column) -> DataFrame:
-    """segment: number of starts so far; carried: the last value that isn't null."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"segment": F.sum(F.when(starts, 1).otherwise(0)).over(w), "carried": F.last(value, ignorenulls=True).over(w)})
+    """segment: number of starts so far; carried: the last value that isn't null.
+
+    Windows run within blocks of a key; what earlier blocks of the key hand on
+    comes from one row a block.
+    """
+    b = in_blocks(df.withColumns({"_s": F.when(starts, 1).otherwise(0), "_v": value}), by, order)
+    w = Window.partitionBy(by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumns({"segment": F.sum("_s").over(w), "carried": F.last("_v", ignorenulls=True).over(w)})
+    sums = b.groupBy(by, "_block").agg(F.sum("_s").alias("_n"), F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))).alias("_last"))
+    before = Window.partitionBy(by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    prior = sums.select(F.col(by).alias("_by"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.last("_last", ignorenulls=True).over(before).alias("_v0"))
+    out = local.join(prior, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")))
+    return out.withColumns({"segment": F.col("segment") + F.col("_n0"), "carried": F.coalesce("carried", "_v0")}).drop("_s", "_v", "_block", "_by", "_b", "_n0", "_v0")
+
+
+def place(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
+    """df with place: row number within each key, counted by blocks."""
+    b = in_blocks(df, by, order)
+    local = b.withColumn("place", F.row_number().over(Window.partitionBy(by, "_block").orderBy(*order)).cast("long"))
+    sums = b.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    prior = sums.withColumn("_n0", F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    out = local.join(prior, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")))
+    return out.withColumn("place", F.col("place") + F.col("_n0")).drop("_block", "_by", "_b", "_n0")
 
 
 def top_distinct(df: DataFrame, by: str, distinct: str, order: Sequence[Column], n: int) -> DataFrame:
     """The best n rows of each key, no two with the same ``distinct``."""
+    # both are limits on a row number, which Spark applies before the shuffle too
     best = F.row_number().over(Window.partitionBy(by, distinct).orderBy(*order))
     top = F.row_number().over(Window.partitionBy(by).orderBy(*order))
     return df.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("place", top).filter(F.col("place") <= n)
 
 
-def hash_rank(df: DataFrame, by: Sequence[str], ident: str, seed: str) -> DataFrame:
-    """pick: rank of each row in its key by a seeded hash of its id, ties by id."""
-    h = F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256)
-    return df.withColumn("pick", F.row_number().over(Window.partitionBy(*by).orderBy(h, ident)))
-
-
 def balanced(df: DataFrame, label: Column, ident: str, seed: str, ratio: float = 1.0) -> DataFrame:
     """All positives and at most ratio times as many negatives, those with the smallest seeded hashes.
 

@@ -98,12 +98,12 @@ COPIES = {
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows on one side only and fields that differ, of both pairs of copies."""
-    sides, rows = [], 0
+    sides, rows, width = [], 0, max(len(c[3]) for c in COPIES.values())
     for dataset, (first, second, key, fields) in COPIES.items():
         for side, name in enumerate((first, second)):
             df = table(spark, d, name)
             rows += df.count()
-            sides.append(reconcile.keyed(df, dataset, side, key, fields))
+            sides.append(reconcile.keyed(df, dataset, side, key, fields, width))
     return reconcile.differences(reduce(DataFrame.unionByName, sides), {k: v[3] for k, v in COPIES.items()}, reconcile.bucket_count(rows))
 
 

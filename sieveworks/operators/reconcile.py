@@ -36,13 +36,14 @@ PARTS = 3
 SHIFT, MASK = 20, (1 << 20) - 1
 
 
-def keyed(df: DataFrame, dataset: str, side: int, key: str, fields: Sequence[str]) -> DataFrame:
-    """(dataset, side, key, values): compared forms of the fields, in order."""
+def keyed(df: DataFrame, dataset: str, side: int, key: str, fields: Sequence[str], width: int | None = None) -> DataFrame:
+    """(dataset, side, key, f0..): the fields as they stand, in order, padded with nulls to ``width`` of them."""
+    n = width or len(fields)
     return df.select(
         F.lit(dataset).alias("dataset"),
         F.lit(side).alias("side"),
         strip_blank(F.col(key).cast("string")).alias("key"),
-        F.array(*[F.coalesce(value_form(F.col(f).cast("string")), F.lit("")) for f in fields]).alias("vals"),
+        *[(F.col(fields[i]).cast("string") if i < len(fields) else F.lit(None).cast("string")).alias(f"f{i}") for i in range(n)],
     ).filter(F.length("key") > 0)
 
 
@@ -99,18 +100,22 @@ def differences(first_and_second: DataFrame, fields: dict[str, Sequence[str]], b
     """(dataset, record_id, difference) of rows made by ``keyed``, both sides of all datasets on end.
 
     difference is only_first, only_second or the name of a differing field.
-    One shuffle by bucket serves the removal of repeated deliveries, the cell
-    sums, the fetch and the comparison.
+    Only hashes go through the first shuffle, by bucket, which serves the
+    removal of repeated deliveries and the cell sums. The fields of the
+    differing keys are fetched and brought to their compared form after that.
     """
+    columns = [c for c in first_and_second.columns if c[0] == "f" and c[1:].isdigit()]
+    form = lambda c: F.coalesce(value_form(F.col(c)), F.lit(""))
     rows = first_and_second.withColumn("kh", F.xxhash64("dataset", "key")).withColumn("bucket", F.pmod("kh", F.lit(buckets)).cast("int"))
-    once = rows.repartition("bucket").groupBy("bucket", "dataset", "key", "kh", "side").agg(F.first("vals").alias("vals"))
-    items = once.withColumn("rh", F.xxhash64("vals"))
+    hashes = rows.select("bucket", "kh", "side", F.xxhash64(*[form(c) for c in columns]).alias("rh"))
+    items = hashes.repartition("bucket").groupBy("bucket", "kh", "side").agg(F.first("rh").alias("rh"))
     peeled = cell_sums(items).groupBy("bucket").applyInPandas(peel, "bucket int, kh long, rh long, sign int")
     stuck = peeled.filter("sign = 0").select("bucket")
-    listed = items.join(stuck, "bucket", "left_semi").groupBy("bucket", "kh", "rh").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("sign")).filter("sign <> 0")
-    differing = peeled.filter("sign <> 0").select("bucket", "kh").unionByName(listed.select("bucket", "kh"))
+    listed = items.join(stuck, "bucket").groupBy("bucket", "kh", "rh").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("sign")).filter("sign <> 0")
+    differing = peeled.filter("sign <> 0").select("bucket", "kh").unionByName(listed.select("bucket", "kh")).distinct()
+    fetched = rows.join(differing, ["bucket", "kh"], "left_semi").withColumn("vals", F.array(*[form(c) for c in columns]))
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("vals")))
-    both = items.join(differing, ["bucket", "kh"], "left_semi").groupBy("bucket", "dataset", "key").agg(side(0).alias("a"), side(1).alias("b"))
+    both = fetched.groupBy("bucket", "kh", "dataset", "key").agg(side(0).alias("a"), side(1).alias("b"))
     changed = F.lit(None).cast("array<string>")
     for dataset, names in fields.items():
         per_field = F.array_compact(F.array(*[F.when(F.col("a")[i] != F.col("b")[i], F.lit(n)) for i, n in enumerate(names)]))

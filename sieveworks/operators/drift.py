@@ -25,7 +25,8 @@ def path_values(df: DataFrame, payload: str, by: Sequence[str], line: str) -> Da
     """(by.., line, path, kind, value) of each field of each valid record.
 
     kind is string, number, boolean, array, object or null; value is the
-    field's JSON text, or the bare text of a string.
+    field's JSON text, or the bare text of a string. Objects with a field twice
+    aren't valid records.
     """
     body = F.regexp_replace(F.col(payload), f"^{BLANK}+|{BLANK}+$", "")
     once = df.select(*by, line, body.alias("_body")).filter(F.col("_body").startswith("{")).dropDuplicates([*by, line])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import conditions as C
 from ..operators import diff, screen, votes
 from ..session import table
 from .registry import Registry

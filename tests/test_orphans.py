@@ -1,7 +1,5 @@
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from sieveworks.operators import orphans as O
 
 T = lambda d: dt.datetime(2027, 1, d)

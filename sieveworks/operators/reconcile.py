@@ -9,23 +9,23 @@ A bucket that can't be peeled falls back to the list of all its row hashes, so
 the result is exact whatever the share of differences.
 
 Keys are unique within a copy but for repeated deliveries, which count once.
-Null keys take no part. Fields are compared in the form of ``value_form``.
-Empty copies give ``only_first`` or ``only_second`` for all rows of the other.
+Null and blank keys take no part. Fields are compared in the form of
+``value_form``. Where a copy is empty, all rows of the other are on one side
+only. Extra columns of any name are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
 import struct
+from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blank, value_form
+from ..session import cut
 
 #: Rows of both copies per bucket, and cells of each of the three parts of its
 #: table: room for differences of about two fifths of the bucket's rows.
@@ -113,6 +113,7 @@ def differences(first_and_second: DataFrame, fields: dict[str, Sequence[str]], b
     stuck = peeled.filter("sign = 0").select("bucket")
     listed = items.join(stuck, "bucket").groupBy("bucket", "kh", "rh").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("sign")).filter("sign <> 0")
     differing = peeled.filter("sign <> 0").select("bucket", "kh").unionByName(listed.select("bucket", "kh")).distinct()
+    differing = cut(differing)  # peeled once, however many tables are fetched from
     fetched = rows.join(differing, ["bucket", "kh"], "left_semi").withColumn("vals", F.array(*[form(c) for c in columns]))
     side = lambda n: F.max(F.when(F.col("side") == n, F.col("vals")))
     both = fetched.groupBy("bucket", "kh", "dataset", "key").agg(side(0).alias("a"), side(1).alias("b"))

@@ -148,8 +148,9 @@ def matched_keys(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     width = F.coalesce("parts", F.lit(1))
     a = shard(texts).join(grown, "shard", "left").withColumn("part", F.pmod(F.xxhash64("text"), width).cast("int")).withColumn("side", F.lit(0))
     b = shard(patterns).join(grown, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("side", F.lit(1))
+    # a task has about four shards at most, however many there are
     cols = ["shard", "part", "side", "kind", "flag", "text", "tail", "key"]
-    both = a.select(cols).unionByName(b.select(cols)).repartition(max(shuffle_width(train.sparkSession), 1), "shard", "part").sortWithinPartitions("shard", "part", "side")
+    both = a.select(cols).unionByName(b.select(cols)).repartition(max(shuffle_width(train.sparkSession), n_shards // 4), "shard", "part").sortWithinPartitions("shard", "part", "side")
     return both.mapInArrow(_stream, "query long, entry long, slips int, kind string")
 
 

@@ -18,16 +18,18 @@ PACKED = [
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Members of the packed fields that hold two or more."""
-    parts = [
-        packed.unpack(table(spark, d, name), key, fields, least=2).select(F.lit(name).alias("table_name"), "record_id", "field_name", "pos", "value")
-        for name, key, fields in PACKED
-    ]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["table_name", "record_id", "field_name", "pos"])
+    parts = [packed.unpack(_once(spark, d, name, key, fields), key, fields, least=2).select(F.lit(name).alias("table_name"), "record_id", "field_name", "pos", "value") for name, key, fields in PACKED]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _once(spark: SparkSession, d: str, name: str, key: str, fields: list[str]) -> DataFrame:
+    """One row a record, before its fields are split into many."""
+    return table(spark, d, name).select(key, *fields).dropDuplicates([key])
 
 
 def p3_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Number of records by table, field and number of members, single values included."""
-    parts = [packed.unpack(table(spark, d, name), key, fields).withColumn("table_name", F.lit(name)) for name, key, fields in PACKED]
+    parts = [packed.unpack(_once(spark, d, name, key, fields), key, fields).withColumn("table_name", F.lit(name)) for name, key, fields in PACKED]
     per = reduce(DataFrame.unionByName, parts).groupBy("table_name", "field_name", "record_id").agg(F.max("pos").alias("n_members"))
     return per.groupBy("table_name", "field_name", "n_members").agg(F.count(F.lit(1)).alias("n_records"))
 

@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\u0085\u00a0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 DASH = r"[\u2010-\u2015\u2212\ufe58\ufe63\uff0d\u00ad]"
 
+#: The same blanks as characters, for trimming without a regular expression.
+BLANKS = " \t\n\r\f\v\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200E)))
+
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
 
 def strip_blank(c: Column) -> Column:
     """Without outer blanks, visible or not; null stays null."""
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def blank_to_null(c: Column) -> Column:

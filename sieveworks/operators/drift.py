@@ -14,24 +14,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
 from ..session import cut
 
 
-def path_values(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
-    """(by.., line, path, kind, value) of each field of each valid record.
+def records(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
+    """(by.., line, fields): each valid record once, as a map from field to its raw value.
 
-    kind is string, number, boolean, array, object or null; value is the
-    field's JSON text, or the bare text of a string. Objects with a field twice
-    aren't valid records.
+    Objects with a field twice aren't valid records.
     """
     body = F.regexp_replace(F.col(payload), f"^{BLANK}+|{BLANK}+$", "")
     once = df.select(*by, line, body.alias("_body")).filter(F.col("_body").startswith("{")).dropDuplicates([*by, line])
     parsed = once.select(*by, line, F.try_parse_json("_body").alias("_v")).filter(F.col("_v").isNotNull())
-    kind_of = lambda s: (
+    return parsed.select(*by, line, F.expr("cast(_v as map<string, variant>)").alias("fields"))
+
+
+def _kind(value: Column) -> Column:
+    """string, number, boolean, array, object or null."""
+    s = F.schema_of_variant(value)
+    return (
         F.when(s.startswith("OBJECT"), "object")
         .when(s.startswith("ARRAY"), "array")
         .when(s == "STRING", "string")
@@ -39,46 +43,59 @@ def path_values(df: DataFrame, payload: str, by: Sequence[str], line: str) -> Da
         .when(s == "VOID", "null")
         .otherwise("number")
     )
-    keys = F.map_keys(F.col("_m"))
-    return (
-        parsed.select(*by, line, F.expr("cast(_v as map<string, variant>)").alias("_m"))
-        .select(*by, line, F.explode(F.arrays_zip(keys.alias("path"), F.map_values("_m").alias("value"))).alias("_e"))
-        .select(*by, line, F.col("_e.path").alias("path"), kind_of(F.schema_of_variant(F.col("_e.value"))).alias("kind"), F.expr("cast(_e.value as string)").alias("value"))
-    )
 
 
-def schema_changes(values: DataFrame, feed: str, seq: str, line: str, identity: str) -> DataFrame:
-    """(feed, seq, change_kind, field_before, field_after) between successive files.
+def _text(name: Column) -> Column:
+    """A field's JSON text, or the bare text of a string; null for a null or absent one."""
+    return F.element_at("fields", name).cast("string")
+
+
+def path_values(recs: DataFrame, by: Sequence[str], line: str) -> DataFrame:
+    """(by.., line, path, kind, value) of each field of each record."""
+    entry = F.explode(F.arrays_zip(F.map_keys("fields").alias("path"), F.map_values("fields").alias("value"))).alias("_e")
+    return recs.select(*by, line, entry).select(*by, line, F.col("_e.path").alias("path"), _kind(F.col("_e.value")).alias("kind"), F.col("_e.value").cast("string").alias("value"))
+
+
+def schema_changes(recs: DataFrame, feed: str, seq: str, line: str, identity: str) -> DataFrame:
+    """(feed, seq, change_kind, field_before, field_after) between successive files of ``records``.
 
     A field is in a file if any valid record has it; its type is that of its
     values that aren't null, null-only fields have none. A field that goes is
     renamed to one that comes if they hold the same values for more than half
     of the records (by ``identity``) that are in both files and have either
     value; the best such partner counts, ties by name.
+
+    The statistics by file are summed before they are shuffled; records are
+    shuffled only for steps where fields both go and come.
     """
-    values = cut(values)  # parsed once, used by all that follows
-    per_file = values.groupBy(feed, seq, "path").agg(F.min(F.when(F.col("kind") != "null", F.col("kind"))).alias("lo"), F.max(F.when(F.col("kind") != "null", F.col("kind"))).alias("hi"))
-    per_file = per_file.withColumn("kind", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("|", "lo", "hi"))).drop("lo", "hi")
-    files = values.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(Window.partitionBy(feed).orderBy(seq)))
+    recs = cut(recs)  # parsed once, used by all that follows
+    kind = F.when(F.col("kind") != "null", F.col("kind"))
+    per_file = path_values(recs, [feed, seq], line).groupBy(feed, seq, "path").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
+    per_file = cut(per_file.select(feed, seq, "path", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("|", "lo", "hi")).alias("kind")))
+    files = per_file.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(Window.partitionBy(feed).orderBy(seq)))
     steps = files.filter(F.col("prev").isNotNull())
-    now = per_file.join(steps, [feed, seq]).select(feed, seq, "path", F.col("kind").alias("kind_after"))
-    before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "path", F.col("kind").alias("kind_before"), F.lit(True).alias("was"))
-    both = cut(now.withColumn("is", F.lit(True)).join(before, [feed, seq, "path"], "full"))
-    gone = both.filter(F.col("is").isNull()).select(feed, seq, F.col("path").alias("field_before"))
-    come = both.filter(F.col("was").isNull()).select(feed, seq, F.col("path").alias("field_after"))
+    now = steps.join(per_file, [feed, seq]).select(feed, seq, "prev", "path", F.col("kind").alias("kind_after"), F.lit(True).alias("is"))
+    before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "prev", "path", F.col("kind").alias("kind_before"), F.lit(True).alias("was"))
+    both = cut(now.join(before, [feed, seq, "prev", "path"], "full"))
+    gone = both.filter(F.col("is").isNull()).select(feed, seq, "prev", F.col("path").alias("field_before"))
+    come = both.filter(F.col("was").isNull()).select(feed, seq, "prev", F.col("path").alias("field_after"))
     retyped = both.filter(F.col("is") & F.col("was") & (F.col("kind_before") != "") & (F.col("kind_after") != "") & (F.col("kind_before") != F.col("kind_after")))
 
-    ident = values.filter(F.col("path") == identity).select(feed, seq, line, F.col("value").alias("ident")).filter(F.col("ident").isNotNull()).dropDuplicates([feed, seq, "ident"])
-    rows = values.join(ident, [feed, seq, line]).select(feed, seq, "ident", "path", F.when(F.col("kind") != "null", F.col("value")).alias("value"))
-    old = steps.join(ident.withColumnRenamed(seq, "prev").drop(line), [feed, "prev"]).join(ident.drop(line), [feed, seq, "ident"]).select(feed, seq, "prev", "ident")
-    pairs = gone.join(come, [feed, seq])
-    left = rows.withColumnRenamed(seq, "prev").withColumnsRenamed({"path": "field_before", "value": "value_before"})
-    right = rows.withColumnsRenamed({"path": "field_after", "value": "value_after"})
+    # values of the fields that go, and of those that come, by record of the steps that have both
+    some = lambda df, c: df.groupBy(feed, seq, "prev").agg(F.collect_set(c).alias(c))
+    turns = some(gone, "field_before").join(some(come, "field_after"), [feed, seq, "prev"])
+    ident = _text(F.lit(identity))
+    pick = lambda c: F.map_from_arrays(c, F.transform(c, _text)).alias(f"_{c}")
+
+    def side(at: str, c: str) -> DataFrame:
+        mine = recs.select(F.col(feed), F.col(seq).alias("_at"), "fields").filter(ident.isNotNull())
+        step = turns.select(feed, seq, F.col(at).alias("_at"), c)
+        return mine.join(step, [feed, "_at"]).select(feed, seq, ident.alias("ident"), pick(c)).dropDuplicates([feed, seq, "ident"])
+
+    held = side("prev", "field_before").join(side(seq, "field_after"), [feed, seq, "ident"])
+    x = held.select(feed, seq, F.explode("_field_before").alias("field_before", "value_before"), "_field_after").select(feed, seq, "field_before", "value_before", F.explode("_field_after").alias("field_after", "value_after"))
     scored = (
-        pairs.join(old, [feed, seq])
-        .join(left, [feed, "prev", "ident", "field_before"], "left")
-        .join(right, [feed, seq, "ident", "field_after"], "left")
-        .groupBy(feed, seq, "field_before", "field_after")
+        x.groupBy(feed, seq, "field_before", "field_after")
         .agg(
             F.count_if(F.col("value_before") == F.col("value_after")).alias("same"),
             F.count_if(F.col("value_before").isNotNull() | F.col("value_after").isNotNull()).alias("either"),
@@ -86,8 +103,7 @@ def schema_changes(values: DataFrame, feed: str, seq: str, line: str, identity:
         .filter(F.col("same") * 2 > F.col("either"))
     )
     best = lambda side, other: F.row_number().over(Window.partitionBy(feed, seq, side).orderBy(F.desc("same"), other))
-    renamed = scored.withColumn("a", best("field_before", "field_after")).withColumn("b", best("field_after", "field_before")).filter("a = 1 and b = 1").select(feed, seq, "field_before", "field_after")
-    renamed = cut(renamed)
+    renamed = cut(scored.withColumn("a", best("field_before", "field_after")).withColumn("b", best("field_after", "field_before")).filter("a = 1 and b = 1").select(feed, seq, "field_before", "field_after"))
     shape = lambda df, kind, x, y: df.select(feed, seq, F.lit(kind).alias("change_kind"), x.alias("field_before"), y.alias("field_after"))
     return (
         shape(come.join(renamed, [feed, seq, "field_after"], "left_anti"), "added", F.lit(""), F.col("field_after"))
@@ -97,16 +113,13 @@ def schema_changes(values: DataFrame, feed: str, seq: str, line: str, identity:
     )
 
 
-def consistent_table(values: DataFrame, by: Sequence[str], line: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
-    """One typed row per record: column -> (type, field names it goes by).
+def consistent_table(recs: DataFrame, by: Sequence[str], line: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+    """One typed row per record: column -> (type, field names it goes by, the first with a value counts).
 
     ``failed_casts`` lists the columns whose value is there but can't be read
-    as the column's type, joined by commas.
+    as the column's type, joined by commas. A projection without any shuffle.
     """
-    wanted = {name: column for column, (_, names) in columns.items() for name in names}
-    lookup = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
-    named = values.withColumn("column", lookup[F.col("path")])
-    wide = named.groupBy(*by, line).agg(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in columns])
+    wide = recs.select(*by, line, *[F.coalesce(*[_text(F.lit(n)) for n in names]).alias(c) for c, (_, names) in columns.items()])
     typed = {c: F.expr(f"try_cast(`{c}` as {kind})") for c, (kind, _) in columns.items()}
     failed = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & typed[c].isNull(), c) for c in columns])
     return wide.select(*by, line, *[typed[c].alias(c) for c in columns], failed.alias("failed_casts"))

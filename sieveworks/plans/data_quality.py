@@ -78,18 +78,18 @@ RULE_COLUMNS = {
 }
 
 
-def _paths(spark: SparkSession, d: str) -> DataFrame:
-    return drift.path_values(table(spark, d, "rule_file_records"), "payload", ["feed_id", "file_seq"], "line_no")
+def _rules(spark: SparkSession, d: str) -> DataFrame:
+    return drift.records(table(spark, d, "rule_file_records"), "payload", ["feed_id", "file_seq"], "line_no")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Schema changes between successive files of each feed."""
-    return drift.schema_changes(_paths(spark, d), "feed_id", "file_seq", "line_no", "reference_parent_cas")
+    return drift.schema_changes(_rules(spark, d), "feed_id", "file_seq", "line_no", "reference_parent_cas")
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
     """All rule files as one typed table, with the casts that failed."""
-    return drift.consistent_table(_paths(spark, d), ["feed_id", "file_seq"], "line_no", RULE_COLUMNS)
+    return drift.consistent_table(_rules(spark, d), ["feed_id", "file_seq"], "line_no", RULE_COLUMNS)
 
 
 COPIES = {

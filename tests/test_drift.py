@@ -3,13 +3,13 @@ import json
 from sieveworks.operators import drift
 
 
-def values(spark, files):
+def recs(spark, files):
     rows = [("f", s, n, p if isinstance(p, str) or p is None else json.dumps(p)) for s, lines in files.items() for n, p in enumerate(lines)]
-    return drift.path_values(spark.createDataFrame(rows, "feed string, seq int, line int, payload string"), "payload", ["feed", "seq"], "line")
+    return drift.records(spark.createDataFrame(rows, "feed string, seq int, line int, payload string"), "payload", ["feed", "seq"], "line")
 
 
 def changes(spark, files):
-    return {tuple(r)[1:] for r in drift.schema_changes(values(spark, files), "feed", "seq", "line", "id").collect()}
+    return {tuple(r)[1:] for r in drift.schema_changes(recs(spark, files), "feed", "seq", "line", "id").collect()}
 
 
 def test_changes(spark):
@@ -31,10 +31,10 @@ def test_rename_needs_most_values(spark):
 
 def test_one_file_and_empty(spark):
     assert changes(spark, {1: [{"id": "1"}]}) == set()
-    assert drift.schema_changes(values(spark, {1: [None]}).limit(0), "feed", "seq", "line", "id").count() == 0
+    assert drift.schema_changes(recs(spark, {1: [None]}).limit(0), "feed", "seq", "line", "id").count() == 0
 
 
 def test_consistent_table_reports_failed_casts(spark):
-    v = values(spark, {1: [{"id": "1", "n": 3}, {"id": "2", "no": "x7"}], 2: [{"id": "3", "no": "8"}]})
+    v = recs(spark, {1: [{"id": "1", "n": 3}, {"id": "2", "no": "x7"}], 2: [{"id": "3", "no": "8"}]})
     t = drift.consistent_table(v, ["feed", "seq"], "line", {"id": ("string", ["id"]), "n": ("bigint", ["n", "no"])})
     assert {(r["id"], r["n"], r["failed_casts"]) for r in t.collect()} == {("1", 3, ""), ("2", None, "n"), ("3", 8, "")}

@@ -113,13 +113,42 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, line: str, identity: st
     )
 
 
+def later_names(recs: DataFrame, feed: str, seq: str, line: str, identity: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> dict[str, tuple[str, list[str]]]:
+    """``columns``, and to each the names not declared that its fields were renamed to or from in some file.
+
+    A name linked to the names of several columns is left out; its values are in
+    ``rest``. The driver receives the distinct pairs of names, and schema
+    changes are looked for only if a record has a name that isn't declared.
+    """
+    home = {n: {c} for c, (_, names) in columns.items() for n in names}
+    if recs.select(F.explode(F.map_keys("fields")).alias("path")).filter(~F.col("path").isin(list(home))).isEmpty():
+        return {c: (kind, list(names)) for c, (kind, names) in columns.items()}
+    pairs = [(r[0], r[1]) for r in schema_changes(recs, feed, seq, line, identity).filter("change_kind = 'renamed'").select("field_before", "field_after").distinct().collect()]
+    found: dict[str, set[str]] = {}
+    while True:
+        reached = [(n, home.get(m, found.get(m, set()))) for a, b in pairs for n, m in ((a, b), (b, a)) if n not in home]
+        new = [(n, at - found.get(n, set())) for n, at in reached]
+        if not any(at for _, at in new):
+            break
+        for n, at in new:
+            found.setdefault(n, set()).update(at)
+    return {c: (kind, [*names, *sorted(n for n, at in found.items() if at == {c})]) for c, (kind, names) in columns.items()}
+
+
 def consistent_table(recs: DataFrame, by: Sequence[str], line: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
     """One typed row per record: column -> (type, field names it goes by, the first with a value counts).
 
     ``failed_casts`` lists the columns whose value is there but can't be read
-    as the column's type, joined by commas. A projection without any shuffle.
+    as the column's type, joined by commas. ``rest`` is a JSON object of all
+    values that no column holds, by field name and in their own JSON types:
+    fields that aren't named, further names of a column, and failed casts; null
+    if there are none. A projection without any shuffle.
     """
-    wide = recs.select(*by, line, *[F.coalesce(*[_text(F.lit(n)) for n in names]).alias(c) for c, (_, names) in columns.items()])
+    name = lambda names: F.coalesce(*[F.when(_text(F.lit(n)).isNotNull(), F.lit(n)) for n in names])
+    wide = recs.select(*by, line, "fields", *[x for c, (_, names) in columns.items() for x in (F.coalesce(*[_text(F.lit(n)) for n in names]).alias(c), name(names).alias(f"_from_{c}"))])
     typed = {c: F.expr(f"try_cast(`{c}` as {kind})") for c, (kind, _) in columns.items()}
     failed = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & typed[c].isNull(), c) for c in columns])
-    return wide.select(*by, line, *[typed[c].alias(c) for c in columns], failed.alias("failed_casts"))
+    held = F.array_compact(F.array(*[F.when(typed[c].isNotNull(), F.col(f"_from_{c}")) for c in columns]))
+    wide = wide.withColumn("_held", held)
+    rest = F.map_filter("fields", lambda k, v: v.cast("string").isNotNull() & ~F.array_contains("_held", k))
+    return wide.select(*by, line, *[typed[c].alias(c) for c in columns], failed.alias("failed_casts"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("rest"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import drift, orphans, packed, reconcile
-from ..session import table
+from ..session import cut, table
 
 PACKED = [
     ("group_membership_v1_50", "case_id", ["candidate_official_groups"]),
@@ -75,6 +75,11 @@ RULE_COLUMNS = {
     "salt_scope": ("string", ["salt_scope", "saltScope", "scope"]),
     "frozen_date": ("date", ["frozen_date", "freeze_date", "frozen_on"]),
     "notes": ("string", ["notes", "notes ", "Notes", "note", "comment", "remarks", "free_text", "비고"]),
+    "isomer_scope": ("string", ["isomer_scope", "isomers"]),
+    "exemption": ("string", ["exemption", "exempt_text"]),
+    "batch_no": ("bigint", ["batch_no", "batchNo", "batch"]),
+    "reviewer_team": ("string", ["reviewer_team", "team"]),
+    "confidence": ("double", ["confidence", "score"]),
 }
 
 
@@ -88,8 +93,10 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """All rule files as one typed table, with the casts that failed."""
-    return drift.consistent_table(_rules(spark, d), ["feed_id", "file_seq"], "line_no", RULE_COLUMNS)
+    """All rule files as one typed table, with the casts that failed and the values that no column holds."""
+    recs = cut(_rules(spark, d))  # parsed once, used for the names and the table
+    columns = drift.later_names(recs, "feed_id", "file_seq", "line_no", "reference_parent_cas", RULE_COLUMNS)
+    return drift.consistent_table(recs, ["feed_id", "file_seq"], "line_no", columns)
 
 
 COPIES = {

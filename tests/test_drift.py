@@ -38,3 +38,24 @@ def test_consistent_table_reports_failed_casts(spark):
     v = recs(spark, {1: [{"id": "1", "n": 3}, {"id": "2", "no": "x7"}], 2: [{"id": "3", "no": "8"}]})
     t = drift.consistent_table(v, ["feed", "seq"], "line", {"id": ("string", ["id"]), "n": ("bigint", ["n", "no"])})
     assert {(r["id"], r["n"], r["failed_casts"]) for r in t.collect()} == {("1", 3, ""), ("2", None, "n"), ("3", 8, "")}
+
+
+def test_consistent_table_keeps_every_value(spark):
+    v = recs(
+        spark,
+        {
+            1: [{"id": "1", "n": 3, "team": ["a"], "z": None}, {"id": "2", "n": "x7", "no": 5}],
+            2: [{"id": "1", "count": 3, "crew": ["a"]}, {"id": "2", "count": "x7"}],
+        },
+    )
+    columns = drift.later_names(v, "feed", "seq", "line", "id", {"id": ("string", ["id"]), "n": ("bigint", ["n", "no"])})
+    assert columns == {"id": ("string", ["id"]), "n": ("bigint", ["n", "no", "count"])}
+    t = drift.consistent_table(v, ["feed", "seq"], "line", columns)
+    got = {(r["seq"], r["id"]): (r["n"], r["failed_casts"], r["rest"] and json.loads(r["rest"])) for r in t.collect()}
+    assert got == {(1, "1"): (3, "", {"team": ["a"]}), (1, "2"): (None, "n", {"n": "x7", "no": 5}), (2, "1"): (3, "", {"crew": ["a"]}), (2, "2"): (None, "n", {"count": "x7"})}
+
+
+def test_name_of_two_columns_stays_in_rest(spark):
+    v = recs(spark, {1: [{"id": "1", "a": 1}], 2: [{"id": "1", "x": 1}], 3: [{"id": "1", "b": 1}]})
+    columns = drift.later_names(v, "feed", "seq", "line", "id", {"a": ("bigint", ["a"]), "b": ("bigint", ["b"])})
+    assert columns == {"a": ("bigint", ["a"]), "b": ("bigint", ["b"])}

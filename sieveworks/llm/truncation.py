@@ -4,7 +4,8 @@ For the characters before each position, read backwards, the model counts how
 often a text of the corpus ends there and how often it goes on. A text's final
 context is scored with the counts of ever longer contexts, each smoothed by the
 shorter one, its own end left out. The log-odds of ending against going on are
-compared with a threshold per language.
+compared with one limit for all languages, which doesn't depend on the scores
+and so not on how many texts of a language are cut.
 
 Before counting, texts are brought to composed form, runs of digits and of
 blanks become one, and marks put after a cut (dots, a lost character, "[more]")
@@ -27,16 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
-
 #: Longest context, and up to which length every context is kept.
 ORDER, SHORT = 10, 4
 #: Weight of the shorter context's estimate, in texts.
 PRIOR = 3.0
 #: A longer context is used only if at most this part of the shorter one's occurrences have it.
 NEWS = 0.5
-#: A text is cut if its odds of ending are below this part of its language's usual odds (their lower quartile), and below LIMIT.
-PART, LIMIT = 0.15, 0.01
+#: A text is cut if its odds of ending are below LIMIT; among few texts many a whole one ends as no other does, so with FEW texts the odds must be below half of it.
+LIMIT, FEW = 0.01, 300
 
 #: Marks that are put after a cut.
 _MARK = re.compile(r"(?:\s|…|�|(?<!\.)\.{3}(?!\.)|(?<=\.)\.{3}$|[\[(](?:more|cont(?:inued|\.)?|truncated|cut|weiter|계속|생략|\.\.\.|…)[\])])+$", re.IGNORECASE)
@@ -188,10 +187,13 @@ def scored(docs: DataFrame, record_id: str, column: str, lang: str, model: Conte
     return docs.select(docs[record_id].alias("record_id"), F.lower(F.coalesce(docs[lang].cast("string"), F.lit(""))).alias("lang"), docs[column].cast("string").alias("text")).mapInArrow(run, f"record_id {kind}, lang string, log_odds double")
 
 
+def limit(n_texts: int) -> float:
+    """The log-odds below which a text among so many is cut."""
+    return float(np.log(LIMIT) - np.log1p(FEW / max(n_texts, 1)))
+
+
 def truncated(docs: DataFrame, record_id: str, column: str, lang: str) -> DataFrame:
     """(record_id, lang, log_odds, cut) of each text that isn't blank."""
     model, base = fit(docs, column)
-    marks = cut(scored(docs, record_id, column, lang, model, base))  # scored once, used for the usual odds and the result
-    usual = F.broadcast(marks.groupBy("lang").agg(F.percentile_approx("log_odds", 0.25).alias("usual")))  # as many rows as languages
-    limit = F.least(F.col("usual") + float(np.log(PART)), F.lit(float(np.log(LIMIT))))
-    return marks.join(usual, "lang").select("record_id", "lang", "log_odds", (F.col("log_odds") < limit).alias("cut"))
+    marks = scored(docs, record_id, column, lang, model, base)
+    return marks.select("record_id", "lang", "log_odds", (F.col("log_odds") < limit(int(model.ends[0].sum()))).alias("cut"))

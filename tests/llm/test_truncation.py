@@ -51,3 +51,18 @@ def test_counts_of_contexts():
     flat, ends = T._flat(["."])
     one = m.find(1, T._longer(T.np.zeros(1, T.np.uint64), flat[ends], 1))[0]
     assert m.ends[0][one] == 2 and m.conts[0][one] == 1
+
+
+def found_of(spark, docs):
+    got = T.truncated(spark.createDataFrame(docs, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()
+    return {r["record_id"] for r in got if r["cut"]}
+
+
+def test_half_of_a_language_cut_and_languages_of_one_text(spark):
+    docs, cut = corpus()
+    alone = sorted(cut)[:2]
+    half = [i for i, _, _ in docs if i not in cut][:30] + sorted(cut)[2:32]
+    lang = {i: "de" for i in half} | {alone[0]: "fr", alone[1]: "it"}
+    moved = [(i, t, lang.get(i, k)) for i, t, k in docs]
+    assert found_of(spark, moved) == found_of(spark, docs)  # the language a text is in doesn't hide its cut
+    assert found_of(spark, moved) >= set(alone)

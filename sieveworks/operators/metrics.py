@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Z95 = 1.959963984540054
+#: Pairs from which on the terms of the exact test are derived from one another.
+MANY = 100_000
 
 
 def ratio(a: Column, b: Column, undefined: float | None = None) -> Column:
@@ -91,14 +93,36 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
 def mcnemar_p(only_a: Column, only_b: Column) -> Column:
     """Exact two-sided probability of the discordant pairs; 1 without any.
 
-    Binomial terms by their logarithms, so the number of pairs isn't limited;
-    from 100,000 pairs on the normal approximation with continuity takes over.
+    Binomial terms by their logarithms up to 100,000 pairs. From there on the
+    largest term of the tail by Stirling's series, and the others each from the
+    one above it, down to those that are less than 1e-40 of it.
     """
     n, k = only_a + only_b, F.least(only_a, only_b)
     log_fact = lambda x: F.expr("0D") + _log_gamma(x + 1)
     term = lambda i: F.exp(log_fact(n) - log_fact(i) - log_fact(n - i) - n * F.lit(math.log(2.0)))
-    tail = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(k, F.lit(50_000).cast("long"))), F.lit(0.0), lambda s, i: s + term(i))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    upto = F.least(k, F.lit(MANY // 2).cast("long"))  # k itself wherever it is used, as then n <= MANY
+    few = F.aggregate(F.sequence(F.lit(0).cast("long"), upto), F.lit(0.0), lambda s, i: s + term(i))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= MANY, few).otherwise(_many_pairs(n, k))))
+
+
+def _many_pairs(n: Column, k: Column) -> Column:
+    """The binomial tail up to k <= n / 2 of many pairs at one half."""
+    m, i = n.cast("double"), k.cast("double")
+    # as differences from the half, so that nothing is lost between large logarithms
+    d = (n - 2 * k) / m
+    spread = m / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0)))
+    top = F.exp(rest(m) - rest(i) - rest(m - i) - spread) * F.sqrt(m / (2 * math.pi * i * (m - i)))
+    # a term j below the top is less than exp(-2 j (j - 1) / n) of it
+    below = F.sequence(F.lit(0).cast("long"), F.ceil(7 * F.sqrt(m)))
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, j: Column) -> Column:
+        next_ = s["term"] * F.greatest(k - j, F.lit(0)) / (m - (k - j) + 1)
+        return F.struct(next_.alias("term"), (s["sum"] + next_).alias("sum"))
+
+    # below a quarter of all, every term is less than exp(-n / 8), which is 0
+    return F.when(k * 4 < n, 0.0).otherwise(top * F.aggregate(below, start, add, lambda s: s["sum"]))
 
 
 def _log_gamma(x: Column) -> Column:

@@ -1,3 +1,4 @@
+import fractions
 import math
 
 import pytest
@@ -78,6 +79,29 @@ def test_statistics(spark):
     assert math.isclose(metrics.with_total(spark.createDataFrame([("a",), (None,)], "s string"), "s").filter("s = 'TOTAL'").first()["share"], 1.0)
 
 
+def many_pairs(a, b):
+    """All terms as whole numbers; those below 1e-40 of a tail's top can't be told in a float, yet count here."""
+    n, k = a + b, min(a, b)
+    term = total = math.comb(n, k)
+    for i in range(k, 0, -1):
+        term = term * i // (n - i + 1)
+        if not term:
+            break
+        total += term
+    return min(1.0, float(fractions.Fraction(2 * total, 2**n)))
+
+
+@pytest.mark.parametrize("a, b", [(60_000, 60_000), (50_500, 50_600), (50_300, 49_800), (51_000, 50_000), (0, 200_000), (20_000, 90_000)])
+def test_mcnemar_of_many_pairs(spark, a, b):
+    assert abs(one(spark, metrics.mcnemar_p(F.col("a"), F.col("b")), a=a, b=b) - many_pairs(a, b)) < 1e-8
+
+
+def test_mcnemar_of_very_many_pairs(spark):
+    n, gap = 2_000_000_000, 60_000
+    normal = math.erfc((gap - 1) / math.sqrt(n) / math.sqrt(2))  # with continuity; exact within 1 / n here
+    assert abs(one(spark, metrics.mcnemar_p(F.col("a"), F.col("b")), a=(n - gap) // 2, b=(n + gap) // 2) - normal) < 1e-8
+
+
 def test_snapshot_diff_and_reconciliation(spark):
     mk = lambda rows: spark.createDataFrame(rows, "k string, v string")
     old, new = mk([("a", "1"), ("a", "1"), ("b", "1"), ("c", "1"), (None, "9")]), mk([("a", "1"), ("c", "2"), ("d", "1")])

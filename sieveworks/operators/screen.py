@@ -1,8 +1,8 @@
 """Screening of items against rules: joins that carry a status.
 
 Nulls never match a key. Rules are pre-aggregated where a join needs one row a
-key. All joins are equi-joins on the rule key; the planner broadcasts a side
-only under its own size check.
+key. All joins are equi-joins on the rule key, but for ``every_spec``; the
+planner broadcasts a side only under its own size check.
 """
 
 from __future__ import annotations
@@ -81,3 +81,19 @@ def by_mode(items: DataFrame, specs: DataFrame, key: str, tests: Mapping[str, Co
     """
     outcome = reduce(lambda w, kv: w.when(F.col("mode") == kv[0], F.when(kv[1], "MATCH").otherwise("NO_MATCH")), tests.items(), F.when(F.lit(False), ""))
     return items.join(specs, key).withColumn("outcome", outcome.otherwise(otherwise))
+
+
+def every_spec(items: DataFrame, specs: DataFrame, by: Sequence[str], tests: Mapping[str, tuple[str, Column]], otherwise: str) -> DataFrame:
+    """(by.., mode, outcome, n): each spec against every item; mode -> (column tested, predicate), unknown modes ask for review of all.
+
+    Each mode's specs meet the distinct values of the column it tests, with
+    their numbers of items, in a nested loop; the items themselves aren't paired.
+    """
+    n = F.count(F.lit(1)).alias("_n")
+    hits = [
+        specs.filter(F.col("mode") == mode).crossJoin(items.groupBy(value).agg(n)).select(*by, "mode", F.when(test, "MATCH").otherwise("NO_MATCH").alias("outcome"), "_n")
+        for mode, (value, test) in tests.items()
+    ]
+    known = F.coalesce(F.col("mode").isin(list(tests)), F.lit(False))
+    hits.append(specs.filter(~known).crossJoin(items.agg(n).filter("_n > 0")).select(*by, "mode", F.lit(otherwise).alias("outcome"), "_n"))
+    return reduce(DataFrame.unionByName, hits).groupBy(*by, "mode", "outcome").agg(F.sum("_n").alias("n"))

@@ -178,15 +178,30 @@ with s as (select p_type, case when row_number() over (order by p_type) % 3 = 0
 select part.p_type, mode, case when mode = 'SIZE' then case when p_size >= size_limit then 'MATCH' else 'NO_MATCH' end when mode = 'PRICE' then case when p_retailprice >= price_limit then 'MATCH' else 'NO_MATCH' end else 'REVIEW_REQUIRED' end as outcome, count(*) as n
 from part join s on part.p_type = s.p_type group by 1, 2, 3""")
 def nested_loop_specs(spark: SparkSession, d: str) -> DataFrame:
-    """Predicates held as rows: each part tested by its type's spec, manual ones ask for review."""
-    from pyspark.sql import Window
+    """Predicates held as rows: each part tested by its own type's spec only, manual ones ask for review."""
+    part = table(spark, d, "part").select("p_type", "p_size", "p_retailprice")
+    specs = _part_specs(part)
+    tests = {"SIZE": F.col("p_size") >= F.col("size_limit"), "PRICE": F.col("p_retailprice") >= F.col("price_limit")}
+    return screen.by_mode(part, specs, "p_type", tests, "REVIEW_REQUIRED").groupBy("p_type", "mode", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
+
+@query("""
+with s as (select p_type, case when row_number() over (order by p_type) % 3 = 0 then 'SIZE' when row_number() over (order by p_type) % 3 = 1 then 'PRICE' else 'MANUAL' end as mode, avg(p_size) as size_limit, avg(p_retailprice) as price_limit from part group by p_type)
+select s.p_type, mode, case when mode = 'SIZE' then case when p_size >= size_limit then 'MATCH' else 'NO_MATCH' end when mode = 'PRICE' then case when p_retailprice >= price_limit then 'MATCH' else 'NO_MATCH' end else 'REVIEW_REQUIRED' end as outcome, count(*) as n
+from part cross join s group by 1, 2, 3""")
+def nested_loop_all_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Predicates held as rows: every part tested by every type's spec, manual ones ask for review of all parts."""
     part = table(spark, d, "part").select("p_type", "p_size", "p_retailprice")
+    tests = {"SIZE": ("p_size", F.col("p_size") >= F.col("size_limit")), "PRICE": ("p_retailprice", F.col("p_retailprice") >= F.col("price_limit"))}
+    return screen.every_spec(part, _part_specs(part), ["p_type"], tests, "REVIEW_REQUIRED")
+
+
+def _part_specs(part: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
     specs = part.groupBy("p_type").agg(F.avg("p_size").alias("size_limit"), F.avg("p_retailprice").alias("price_limit"))
     n = F.row_number().over(Window.orderBy("p_type"))  # one row per type
-    specs = specs.withColumn("mode", F.when(n % 3 == 0, "SIZE").when(n % 3 == 1, "PRICE").otherwise("MANUAL"))
-    tests = {"SIZE": F.col("p_size") >= F.col("size_limit"), "PRICE": F.col("p_retailprice") >= F.col("price_limit")}
-    return screen.by_mode(part, specs, "p_type", tests, "REVIEW_REQUIRED").groupBy("p_type", "mode", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return specs.withColumn("mode", F.when(n % 3 == 0, "SIZE").when(n % 3 == 1, "PRICE").otherwise("MANUAL"))
 
 
 @query("""

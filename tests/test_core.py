@@ -59,6 +59,14 @@ def test_meets_and_status(spark):
     assert one(spark, screen.status(F.col("v"), F.lit(None).cast("double"), F.lit(None).cast("boolean")), v=0.1) == "LIMIT_MISSING"
 
 
+def test_every_spec_meets_every_item(spark):
+    items = spark.createDataFrame([("x", 1), ("x", 5), ("y", 5), (None, None)], "kind string, v int")
+    specs = spark.createDataFrame([("x", "V", 3), ("y", "V", 9), ("z", "OTHER", 0), ("w", None, 0)], "kind string, mode string, low int")
+    got = screen.every_spec(items, specs, ["kind"], {"V": ("v", F.col("v") >= F.col("low"))}, "REVIEW").collect()
+    assert {tuple(r) for r in got} == {("x", "V", "MATCH", 2), ("x", "V", "NO_MATCH", 2), ("y", "V", "NO_MATCH", 4), ("z", "OTHER", "REVIEW", 4), ("w", None, "REVIEW", 4)}
+    assert screen.every_spec(items.limit(0), specs, ["kind"], {"V": ("v", F.col("v") >= F.col("low"))}, "REVIEW").count() == 0
+
+
 @pytest.mark.parametrize("cast, want", [("MMN", "M"), ("MNR", "R"), ("MN", "R"), ("xxM", "R"), ("M", "M")])
 def test_majority(spark, cast, want):
     df = spark.createDataFrame([("u", c) for c in cast], "u string, v string")

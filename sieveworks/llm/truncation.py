@@ -13,8 +13,8 @@ are taken off. Null, empty and blank texts are no cases and teach nothing. Long
 texts are read whole. Languages are compared without case; a null one is one
 of its own. Ids delivered twice count once in the result.
 
-The table of contexts is bounded: the shortest contexts are few, longer ones
-count only if at least two texts and a millionth of all texts end in them.
+The table of contexts is bounded: the shortest contexts are few and all kept,
+longer ones count only if at least two texts and a millionth of all end in them.
 """
 
 from __future__ import annotations
@@ -142,14 +142,18 @@ class Contexts:
         return np.log(p) - np.log1p(-np.minimum(p, 1 - 1e-9))
 
 
+def bounded(ends: DataFrame, n_texts: int) -> DataFrame:
+    """All contexts up to SHORT, and the longer ones that at least two texts and a millionth of all end in."""
+    return ends.filter((F.col("k") <= SHORT) | (F.col("n") >= max(2, n_texts // 1_000_000)))
+
+
 def fit(docs: DataFrame, column: str) -> tuple[Contexts, float]:
     """The counts of all texts, and the share of positions that are ends."""
     spark = docs.sparkSession
     texts = docs.select(docs[column].cast("string"))
     ends = texts.mapInArrow(_end_contexts, "k int, key long, n long").groupBy("k", "key").agg(F.sum("n").alias("n"))
     n_texts = texts.count()
-    floor = max(1, n_texts // 1_000_000)
-    kept = ends.filter(F.col("n") >= F.when(F.col("k") <= SHORT, floor).otherwise(max(2, floor))).toPandas()
+    kept = bounded(ends, n_texts).toPandas()
     model = Contexts(kept["k"].to_numpy(), kept["key"].to_numpy(), kept["n"].to_numpy())
     shared = spark.sparkContext.broadcast(model)
 

@@ -66,3 +66,9 @@ def test_half_of_a_language_cut_and_languages_of_one_text(spark):
     moved = [(i, t, lang.get(i, k)) for i, t, k in docs]
     assert found_of(spark, moved) == found_of(spark, docs)  # the language a text is in doesn't hide its cut
     assert found_of(spark, moved) >= set(alone)
+
+
+def test_short_contexts_are_kept_among_many_texts(spark):
+    ends = spark.createDataFrame([(1, 1, 1), (4, 2, 2), (5, 3, 4), (5, 4, 5), (10, 5, 9)], "k int, key long, n long")
+    kept = lambda n: {r["key"] for r in T.bounded(ends, n).collect()}
+    assert kept(5_000_000) == {1, 2, 4, 5} and kept(9_999_999) == {1, 2, 5} and kept(10) == {1, 2, 3, 4, 5}

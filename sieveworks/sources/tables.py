@@ -1,14 +1,16 @@
 """Tables from files, and back: delimited text, seed files, JSON trees, guarded appends.
 
 Readers take a path or several and keep every column as text unless a schema is
-given; typing is a projection of its own. Only schemas and a bounded head of one
-file are looked at before a job starts.
+given; typing is a projection of its own. Schemas, and the encoding of the whole
+of each text file where it isn't given, are looked at before a job starts.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,40 +19,66 @@ from pyspark.sql import types as T
 
 from ..operators.quality import require, resolve
 
-#: Bytes of the head that tell the encoding.
-HEAD = 65_536
 #: Encodings tried in this order, and their names in the reader.
 ENCODINGS = ("utf-8", "cp949")
 _READER = {"cp949": "MS949"}
 
 
-def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """The first encoding that decodes the head of the first file; a character cut by the head's end doesn't count."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("head")).first()
-    head = bytes(row["head"]) if row else b""
-    for name in ENCODINGS:
-        for drop in range(4):
-            try:
-                head[: len(head) - drop].decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
-    return ENCODINGS[0]
+def encodings(spark: SparkSession, path: str | Sequence[str]) -> dict[str, list[str]]:
+    """Encoding -> files: for each file the first encoding that decodes all of it; an error where none does.
+
+    Lines are checked as bytes where they are read; the driver receives one row
+    per file. Empty files are in no list.
+    """
+
+    def fails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad = {}
+            for file, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file in bad and all(bad[file]):
+                    continue
+                bad.setdefault(file, [False] * len(ENCODINGS))
+                for i, name in enumerate(ENCODINGS):
+                    try:
+                        line.decode(name)
+                    except UnicodeDecodeError:
+                        bad[file][i] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(bad), pa.string()), pa.array(list(bad.values()), pa.list_(pa.bool_()))], ["file", "bad"])
+
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    each = lines.mapInArrow(fails, "file string, bad array<boolean>").groupBy("file").agg(*[F.bool_or(F.col("bad")[i]).alias(name) for i, name in enumerate(ENCODINGS)])
+    found: dict[str, list[str]] = {}
+    for row in each.orderBy("file").collect():
+        name = next((n for n in ENCODINGS if not row[n]), None)
+        if name is None:
+            raise ValueError(f"{unquote(row['file'])} is in none of {', '.join(ENCODINGS)}")
+        found.setdefault(name, []).append(unquote(row["file"]))
+    return found
 
 
 def read_text_table(spark: SparkSession, path: str | Sequence[str], encoding: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
-    """A delimited file with a header, all columns text, missing ones ''; the byte order mark is dropped."""
-    encoding = encoding or sniff_encoding(spark, path if isinstance(path, str) else path[0])
-    if encoding in _READER:  # the reader takes other than Unicode encodings only under this setting
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", _READER.get(encoding, encoding)).csv(path if isinstance(path, str) else list(path))
-    df = df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+    """A delimited file with a header, all columns text, missing ones ''; the byte order mark is dropped.
+
+    Several files may be in different encodings, then their columns go by name.
+    """
+    every = path if isinstance(path, str) else list(path)
+    found = {encoding: every} if encoding else encodings(spark, path)
+    if len(found) < 2:
+        found = {next(iter(found), ENCODINGS[0]): every}
+    df = reduce(DataFrame.unionByName, [_read(spark, files, name) for name, files in found.items()])
     if columns is not None:
         require(df, columns)
         df = df.select(*columns)
     return df.fillna("")
 
 
+def _read(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    if encoding in _READER:  # the reader takes other than Unicode encodings only under this setting
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", _READER.get(encoding, encoding)).csv(path)
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+
+
 def read_seed_files(spark: SparkSession, path: str) -> DataFrame:
     """All files of a pattern on end, with the name of each row's file."""
     df = spark.read.option("header", True).csv(path)

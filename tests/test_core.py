@@ -162,3 +162,19 @@ def test_sources_round_trip(spark, tmp_path):
     assert [(r["path"], r["kind"]) for r in walk.filter("kind = 'scalar'").collect()] == [("$.a[0]", "scalar"), ("$.a[1].c", "scalar")]
     empty, status = tables.optional_table(spark, str(tmp_path / "none"), df.schema)
     assert status == "INPUT_REQUIRED" and empty.count() == 0
+
+
+def test_encoding_of_all_of_each_file(spark, tmp_path):
+    names = lambda *files: {r["id"]: r["name"] for r in tables.read_text_table(spark, [str(tmp_path / f) for f in files]).collect()}
+    plain = "id,name\n" + "".join(f"{i},substance\n" for i in range(6000))
+    assert len(plain) > 70_000
+    (tmp_path / "late %20.csv").write_bytes((plain + "k,독성\n").encode("cp949"))
+    (tmp_path / "u.csv").write_bytes("\ufeffid,name\nu,\"염\n류 \ufffd\"\n".encode())
+    (tmp_path / "k.csv").write_bytes("name,id\n물질,v\n".encode("cp949"))
+    assert tables.read_text_table(spark, str(tmp_path / "late*")).filter("id = 'k'").first()["name"] == "독성"
+    assert names("u.csv", "k.csv") == {"u": "염\n류 \ufffd", "v": "물질"}
+    both = names("u.csv", "late %20.csv")
+    assert len(both) == 6002 and both["k"] == "독성" and both["u"] == "염\n류 \ufffd"
+    (tmp_path / "none.csv").write_bytes(b"id,name\n1,\xff\xff\n")
+    with pytest.raises(ValueError, match="none.csv"):
+        tables.read_text_table(spark, str(tmp_path / "none.csv"))

@@ -1,48 +1,62 @@
 """Schemas that drift between the files of a feed.
 
-Each record is loaded as a map from field to its raw JSON type and value, the
-fields and types are aggregated by file, and successive files of a feed are
-compared. The one consistent table is projected from the same maps, with every
-failed cast reported.
-
-Records that aren't a JSON object are no records; marks around the object
-(byte order mark, blanks, line ends) are taken off. Lines delivered twice count
-once. Null payloads, empty tables and feeds with one file give no changes.
+Each record is loaded as a map from field to its raw JSON value, the paths and
+types are aggregated by file, objects and arrays to any depth, and successive
+files of a feed are compared. The one consistent table is projected from the
+same maps: its columns are the fields of all files, joined by the renames that
+were found, their types those that most values have; every failed cast is
+reported and no value is lost.
+
+Records that aren't a JSON object are no records, ``rejected`` counts them;
+marks around the object (byte order mark, blanks, line ends) are taken off.
+Lines delivered twice count once. Null payloads, empty tables and feeds with
+one file give no changes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BLANK
 from ..session import cut
 
+#: JSON types as bits, so that the set of a field's types is one number.
+KINDS = {"string": 1, "number": 2, "boolean": 4, "array": 8, "object": 16}
+#: Between the names of a nested path; shown as a point.
+STEP = "\x1f"
+
+
+def _body(payload: str) -> Column:
+    return F.regexp_replace(F.col(payload), f"^{BLANK}+|{BLANK}+$", "")
 
-def records(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
-    """(by.., line, fields): each valid record once, as a map from field to its raw value.
+
+def parsed(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
+    """(by.., line, fields): each delivery of each valid record, as a map from field to its raw value.
 
     Objects with a field twice aren't valid records.
     """
-    body = F.regexp_replace(F.col(payload), f"^{BLANK}+|{BLANK}+$", "")
-    once = df.select(*by, line, body.alias("_body")).filter(F.col("_body").startswith("{")).dropDuplicates([*by, line])
-    parsed = once.select(*by, line, F.try_parse_json("_body").alias("_v")).filter(F.col("_v").isNotNull())
-    return parsed.select(*by, line, F.expr("cast(_v as map<string, variant>)").alias("fields"))
+    body = df.select(*by, line, _body(payload).alias("_body")).filter(F.col("_body").startswith("{"))
+    objects = body.select(*by, line, F.try_parse_json("_body").alias("_v")).filter(F.col("_v").isNotNull())
+    return objects.select(*by, line, F.expr("cast(_v as map<string, variant>)").alias("fields"))
 
 
-def _kind(value: Column) -> Column:
-    """string, number, boolean, array, object or null."""
-    s = F.schema_of_variant(value)
-    return (
-        F.when(s.startswith("OBJECT"), "object")
-        .when(s.startswith("ARRAY"), "array")
-        .when(s == "STRING", "string")
-        .when(s == "BOOLEAN", "boolean")
-        .when(s == "VOID", "null")
-        .otherwise("number")
-    )
+def records(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
+    """``parsed``, each line once."""
+    once = df.groupBy(*by, line).agg(F.min(payload).alias(payload))
+    return parsed(once, payload, by, line)
+
+
+def rejected(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
+    """(by.., n_lines, n_rejected): lines of each file, and those that aren't a record."""
+    once = df.groupBy(*by, line).agg(F.min(payload).alias(payload)).select(*by, _body(payload).alias("_body"))
+    good = F.col("_body").startswith("{") & F.try_parse_json("_body").isNotNull()
+    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_rejected"))
 
 
 def _text(name: Column) -> Column:
@@ -50,89 +64,174 @@ def _text(name: Column) -> Column:
     return F.element_at("fields", name).cast("string")
 
 
-def path_values(recs: DataFrame, by: Sequence[str], line: str) -> DataFrame:
-    """(by.., line, path, kind, value) of each field of each record."""
+@lru_cache(4096)
+def flattened(schema: str) -> tuple[tuple[str, int], ...]:
+    """(path below the value, bit of its type) of all levels of a variant's schema, the value itself first."""
+    out: list[tuple[str, int]] = []
+
+    def name(i: int) -> tuple[str, int]:
+        if schema[i] != "`":
+            end = schema.index(":", i)
+            return schema[i:end], end
+        end, got = i + 1, ""
+        while schema[end] != "`" or schema[end + 1 : end + 2] == "`":
+            got, end = got + schema[end], end + (2 if schema[end] == "`" else 1)
+        return got, end + 1
+
+    def value(i: int, path: str) -> int:
+        if schema.startswith("OBJECT<", i):
+            out.append((path, KINDS["object"]))
+            i += 7
+            while schema[i] != ">":
+                key, i = name(i)
+                i = value(i + 2, path + STEP + key)  # after the colon and a blank
+                i += 2 if schema.startswith(", ", i) else 0
+            return i + 1
+        if schema.startswith("ARRAY<", i):
+            out.append((path, KINDS["array"]))
+            return value(i + 6, path + STEP + "[]") + 1
+        end = i
+        while end < len(schema) and schema[end] not in ",>" or schema.startswith("DECIMAL", i) and schema[end - 1 : end] != ")":
+            end += 1
+        kind = schema[i:end]
+        bit = {"STRING": 1, "BOOLEAN": 4, "VOID": 0, "VARIANT": 0}.get(kind, 2)
+        out.append((path, bit))
+        return end
+
+    value(0, "")
+    return tuple(out)
+
+
+def path_kinds(recs: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by.., path, parent, kinds): the paths of each file with the set of their types that aren't null, as bits.
+
+    Values are summed up to their distinct schemas where they are read; only
+    those few are taken apart.
+    """
     entry = F.explode(F.arrays_zip(F.map_keys("fields").alias("path"), F.map_values("fields").alias("value"))).alias("_e")
-    return recs.select(*by, line, entry).select(*by, line, F.col("_e.path").alias("path"), _kind(F.col("_e.value")).alias("kind"), F.col("_e.value").cast("string").alias("value"))
-
-
-def schema_changes(recs: DataFrame, feed: str, seq: str, line: str, identity: str) -> DataFrame:
-    """(feed, seq, change_kind, field_before, field_after) between successive files of ``records``.
-
-    A field is in a file if any valid record has it; its type is that of its
-    values that aren't null, null-only fields have none. A field that goes is
-    renamed to one that comes if they hold the same values for more than half
-    of the records (by ``identity``) that are in both files and have either
-    value; the best such partner counts, ties by name.
-
-    The statistics by file are summed before they are shuffled; records are
-    shuffled only for steps where fields both go and come.
+    seen = recs.select(*by, entry).select(*by, F.col("_e.path").alias("path"), F.schema_of_variant("_e.value").alias("schema")).distinct()
+    n = len(by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, paths, parents, bits = [], [], [], []
+            for i, (path, schema) in enumerate(zip(b.column(n).to_pylist(), b.column(n + 1).to_pylist())):
+                for below, bit in flattened(schema):
+                    at.append(i)
+                    paths.append(path + below)
+                    parents.append((path + below).rpartition(STEP)[0])
+                    bits.append(bit)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n)), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(bits, pa.int32())], [*b.schema.names[:n], "path", "parent", "kinds"])
+
+    kinds = ", ".join(f"`{c}` {recs.schema[c].dataType.simpleString()}" for c in by)
+    return seen.mapInArrow(run, f"{kinds}, path string, parent string, kinds int").groupBy(*by, "path", "parent").agg(F.bit_or("kinds").alias("kinds"))
+
+
+def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataFrame:
+    """(feed, seq, change_kind, field_before, field_after) between successive files; recs are ``parsed`` or ``records``.
+
+    A field is in a file if any valid record has it; its type is the set of the
+    types of its values that aren't null, null-only fields have none. A field
+    that goes is renamed to one that comes if they hold the same values for
+    more than half of the records (by ``identity``) that are in both files and
+    have either value; the best such partner counts, ties by name. Nested
+    fields are compared where what holds them is of the same kind in both
+    files, and come as paths with points; they are added, removed or retyped.
+
+    The statistics by file are summed before they are shuffled; values are
+    read again, and shuffled, only for steps where fields both go and come.
     """
-    recs = cut(recs)  # parsed once, used by all that follows
-    kind = F.when(F.col("kind") != "null", F.col("kind"))
-    per_file = path_values(recs, [feed, seq], line).groupBy(feed, seq, "path").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi"))
-    per_file = cut(per_file.select(feed, seq, "path", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat_ws("|", "lo", "hi")).alias("kind")))
+    per_file = cut(path_kinds(recs, [feed, seq]))
     files = per_file.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(Window.partitionBy(feed).orderBy(seq)))
     steps = files.filter(F.col("prev").isNotNull())
-    now = steps.join(per_file, [feed, seq]).select(feed, seq, "prev", "path", F.col("kind").alias("kind_after"), F.lit(True).alias("is"))
-    before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "prev", "path", F.col("kind").alias("kind_before"), F.lit(True).alias("was"))
-    both = cut(now.join(before, [feed, seq, "prev", "path"], "full"))
-    gone = both.filter(F.col("is").isNull()).select(feed, seq, "prev", F.col("path").alias("field_before"))
-    come = both.filter(F.col("was").isNull()).select(feed, seq, "prev", F.col("path").alias("field_after"))
-    retyped = both.filter(F.col("is") & F.col("was") & (F.col("kind_before") != "") & (F.col("kind_after") != "") & (F.col("kind_before") != F.col("kind_after")))
+    # each file as the later of one step and the earlier of the next
+    now = steps.join(per_file, [feed, seq]).select(feed, seq, "prev", "path", "parent", F.col("kinds").alias("k1"), F.lit(None).cast("int").alias("k0"))
+    before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "prev", "path", "parent", F.lit(None).cast("int").alias("k1"), F.col("kinds").alias("k0"))
+    both = cut(now.unionByName(before).groupBy(feed, seq, "prev", "path", "parent").agg(F.max("k0").alias("k0"), F.max("k1").alias("k1")).filter("k0 is null or k1 is null or k0 <> k1 or k0 >= 8"))
+    top, below = both.filter("parent = ''"), both.filter("parent <> ''")
+    holds = both.filter("k0 = k1 and k0 >= 8").select(feed, seq, F.col("path").alias("parent"))
+    below = below.join(holds, [feed, seq, "parent"], "left_semi")
+    gone = top.filter("k1 is null").select(feed, seq, "prev", F.col("path").alias("field_before"))
+    come = top.filter("k0 is null").select(feed, seq, "prev", F.col("path").alias("field_after"))
 
     # values of the fields that go, and of those that come, by record of the steps that have both
-    some = lambda df, c: df.groupBy(feed, seq, "prev").agg(F.collect_set(c).alias(c))
-    turns = some(gone, "field_before").join(some(come, "field_after"), [feed, seq, "prev"])
+    turns = top.groupBy(feed, seq, "prev").agg(F.collect_set(F.when(F.col("k1").isNull(), F.col("path"))).alias("gone"), F.collect_set(F.when(F.col("k0").isNull(), F.col("path"))).alias("come")).filter("size(gone) > 0 and size(come) > 0")
     ident = _text(F.lit(identity))
-    pick = lambda c: F.map_from_arrays(c, F.transform(c, _text)).alias(f"_{c}")
-
-    def side(at: str, c: str) -> DataFrame:
-        mine = recs.select(F.col(feed), F.col(seq).alias("_at"), "fields").filter(ident.isNotNull())
-        step = turns.select(feed, seq, F.col(at).alias("_at"), c)
-        return mine.join(step, [feed, "_at"]).select(feed, seq, ident.alias("ident"), pick(c)).dropDuplicates([feed, seq, "ident"])
-
-    held = side("prev", "field_before").join(side(seq, "field_after"), [feed, seq, "ident"])
-    x = held.select(feed, seq, F.explode("_field_before").alias("field_before", "value_before"), "_field_after").select(feed, seq, "field_before", "value_before", F.explode("_field_after").alias("field_after", "value_after"))
+    sides = turns.select(feed, seq, F.explode(F.array(F.struct(F.col("prev").alias("at"), F.lit(0).alias("side"), F.col("gone").alias("names")), F.struct(F.col(seq).alias("at"), F.lit(1).alias("side"), F.col("come").alias("names")))).alias("_s")).select(feed, seq, "_s.*")
+    held = recs.select(F.col(feed), F.col(seq).alias("at"), "fields").filter(ident.isNotNull()).join(sides, [feed, "at"])
+    held = held.select(feed, seq, "side", ident.alias("ident"), F.transform("names", lambda c: F.struct(c.alias("name"), _text(c).alias("value"))).alias("vals"))
+    mine = lambda side: F.max(F.when(F.col("side") == side, F.col("vals")))
+    met = held.groupBy(feed, seq, "ident").agg(mine(0).alias("a"), mine(1).alias("b")).filter("a is not null and b is not null")
+    x = met.select(feed, seq, F.explode("a").alias("a"), "b").select(feed, seq, "a", F.explode("b").alias("b"))
     scored = (
-        x.groupBy(feed, seq, "field_before", "field_after")
-        .agg(
-            F.count_if(F.col("value_before") == F.col("value_after")).alias("same"),
-            F.count_if(F.col("value_before").isNotNull() | F.col("value_after").isNotNull()).alias("either"),
-        )
+        x.groupBy(feed, seq, F.col("a.name").alias("field_before"), F.col("b.name").alias("field_after"))
+        .agg(F.count_if(F.col("a.value") == F.col("b.value")).alias("same"), F.count_if(F.col("a.value").isNotNull() | F.col("b.value").isNotNull()).alias("either"))
         .filter(F.col("same") * 2 > F.col("either"))
     )
     best = lambda side, other: F.row_number().over(Window.partitionBy(feed, seq, side).orderBy(F.desc("same"), other))
     renamed = cut(scored.withColumn("a", best("field_before", "field_after")).withColumn("b", best("field_after", "field_before")).filter("a = 1 and b = 1").select(feed, seq, "field_before", "field_after"))
     shape = lambda df, kind, x, y: df.select(feed, seq, F.lit(kind).alias("change_kind"), x.alias("field_before"), y.alias("field_after"))
+    shown = F.regexp_replace("path", STEP + r"(\[\])?", ".$1")
+    inner = F.when(F.col("k0").isNull(), "added").when(F.col("k1").isNull(), "removed").when((F.col("k0") > 0) & (F.col("k1") > 0) & (F.col("k0") != F.col("k1")), "retyped")
+    nested = below.select(feed, seq, inner.alias("change_kind"), F.when(F.col("k0").isNull(), "").otherwise(shown).alias("field_before"), F.when(F.col("k1").isNull(), "").otherwise(shown).alias("field_after")).filter("change_kind is not null")
     return (
         shape(come.join(renamed, [feed, seq, "field_after"], "left_anti"), "added", F.lit(""), F.col("field_after"))
         .unionByName(shape(gone.join(renamed, [feed, seq, "field_before"], "left_anti"), "removed", F.col("field_before"), F.lit("")))
         .unionByName(shape(renamed, "renamed", F.col("field_before"), F.col("field_after")))
-        .unionByName(shape(retyped, "retyped", F.col("path"), F.col("path")))
+        .unionByName(shape(top.filter("k0 > 0 and k1 > 0 and k0 <> k1"), "retyped", F.col("path"), F.col("path")))
+        .unionByName(nested)
     )
 
 
-def later_names(recs: DataFrame, feed: str, seq: str, line: str, identity: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> dict[str, tuple[str, list[str]]]:
-    """``columns``, and to each the names not declared that its fields were renamed to or from in some file.
-
-    A name linked to the names of several columns is left out; its values are in
-    ``rest``. The driver receives the distinct pairs of names, and schema
-    changes are looked for only if a record has a name that isn't declared.
+def _groups(names: Counter, links: Sequence[tuple[str, str, int]], together: set[frozenset[str]]) -> list[list[str]]:
+    """Names joined by renames, the most frequent links first, unless two names of one group stand in one file."""
+    group = {n: [n] for n in names}
+    for a, b, _ in sorted(links, key=lambda x: (-x[2], x[0], x[1])):
+        x, y = group.get(a), group.get(b)
+        if x is None or y is None or x is y or any(frozenset((m, n)) in together for m in x for n in y):
+            continue
+        x += y
+        for n in y:
+            group[n] = x
+    unique = {id(g): sorted(g, key=lambda n: (-names[n], n)) for g in group.values()}
+    return sorted(unique.values(), key=lambda g: (-sum(names[n] for n in g), g))
+
+
+def inferred_columns(recs: DataFrame, feed: str, seq: str, identity: str, reserved: Sequence[str] = ()) -> dict[str, tuple[str, list[str]]]:
+    """Column -> (type, names of its field): all fields of all files, joined by the renames between files.
+
+    A column goes by the name that most records use, and has the type of most
+    of its values: bigint where all numbers are whole, else double; boolean; or
+    string, also for arrays and objects as JSON. Two names that stand in one
+    file are never joined. The driver receives the distinct field names with
+    their counts, the renames between them, and which of those meet in a file.
     """
-    home = {n: {c} for c, (_, names) in columns.items() for n in names}
-    if recs.select(F.explode(F.map_keys("fields")).alias("path")).filter(~F.col("path").isin(list(home))).isEmpty():
-        return {c: (kind, list(names)) for c, (kind, names) in columns.items()}
-    pairs = [(r[0], r[1]) for r in schema_changes(recs, feed, seq, line, identity).filter("change_kind = 'renamed'").select("field_before", "field_after").distinct().collect()]
-    found: dict[str, set[str]] = {}
-    while True:
-        reached = [(n, home.get(m, found.get(m, set()))) for a, b in pairs for n, m in ((a, b), (b, a)) if n not in home]
-        new = [(n, at - found.get(n, set())) for n, at in reached]
-        if not any(at for _, at in new):
-            break
-        for n, at in new:
-            found.setdefault(n, set()).update(at)
-    return {c: (kind, [*names, *sorted(n for n, at in found.items() if at == {c})]) for c, (kind, names) in columns.items()}
+    entry = F.explode(F.arrays_zip(F.map_keys("fields").alias("path"), F.map_values("fields").alias("value"))).alias("_e")
+    s = F.schema_of_variant("_e.value")
+    kind = F.when(s == "BOOLEAN", "boolean").when(s.startswith("BIGINT"), "bigint").when(s.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "double").when(s != "VOID", "string")
+    per_file = cut(recs.select(feed, seq, entry).groupBy(feed, seq, F.col("_e.path").alias("path"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    names, kinds = Counter(), {}
+    for r in per_file.groupBy("path", "kind").agg(F.sum("n").alias("n")).collect():
+        names[r["path"]] += r["n"]
+        kinds.setdefault(r["path"], Counter())[r["kind"]] += r["n"]
+    links = [tuple(r) for r in schema_changes(recs, feed, seq, identity).filter("change_kind = 'renamed'").groupBy("field_before", "field_after").agg(F.count(F.lit(1)).alias("n")).collect()]
+    linked = {n for a, b, _ in links for n in (a, b)}
+    sets = per_file.filter(F.col("path").isin(list(linked))).groupBy(feed, seq).agg(F.array_sort(F.collect_set("path")).alias("a")).select("a").distinct()
+    pairs = sets.select(F.explode("a").alias("x"), "a").select("x", F.explode("a").alias("y")).filter("x < y").distinct().collect() if linked else []
+    together = {frozenset((r["x"], r["y"])) for r in pairs}
+    out: dict[str, tuple[str, list[str]]] = {}
+    taken = {c.lower() for c in (*reserved, "failed_casts", "rest", "fields")}
+    for group in _groups(names, links, together):
+        n = sum((kinds[g] for g in group), Counter())
+        number = n["bigint"] + n["double"]
+        most = max(("string", n["string"]), ("boolean", n["boolean"]), ("double" if n["double"] else "bigint", number), key=lambda x: (x[1], x[0]))
+        column = group[0]
+        while column.lower() in taken:
+            column += "_"
+        taken.add(column.lower())
+        out[column] = (most[0] if most[1] else "string", group)
+    return out
 
 
 def consistent_table(recs: DataFrame, by: Sequence[str], line: str, columns: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
@@ -144,11 +243,13 @@ def consistent_table(recs: DataFrame, by: Sequence[str], line: str, columns: Map
     fields that aren't named, further names of a column, and failed casts; null
     if there are none. A projection without any shuffle.
     """
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
     name = lambda names: F.coalesce(*[F.when(_text(F.lit(n)).isNotNull(), F.lit(n)) for n in names])
-    wide = recs.select(*by, line, "fields", *[x for c, (_, names) in columns.items() for x in (F.coalesce(*[_text(F.lit(n)) for n in names]).alias(c), name(names).alias(f"_from_{c}"))])
-    typed = {c: F.expr(f"try_cast(`{c}` as {kind})") for c, (kind, _) in columns.items()}
-    failed = F.concat_ws(",", *[F.when(F.col(c).isNotNull() & typed[c].isNull(), c) for c in columns])
-    held = F.array_compact(F.array(*[F.when(typed[c].isNotNull(), F.col(f"_from_{c}")) for c in columns]))
+    wide = recs.select(*by, line, "fields", *[name(names).alias(f"_from_{i}") for i, (_, names) in enumerate(columns.values())])
+    wide = wide.select(*by, line, "fields", *[f"_from_{i}" for i in range(len(columns))], *[F.element_at("fields", F.col(f"_from_{i}")).cast("string").alias(c) for i, c in enumerate(columns)])
+    typed = {c: F.expr(f"try_cast({quoted(c)} as {kind})") for c, (kind, _) in columns.items()}
+    failed = F.concat_ws(",", *[F.when(F.col(quoted(c)).isNotNull() & typed[c].isNull(), c) for c in columns])
+    held = F.array_compact(F.array(*[F.when(typed[c].isNotNull(), F.col(f"_from_{i}")) for i, c in enumerate(columns)]))
     wide = wide.withColumn("_held", held)
     rest = F.map_filter("fields", lambda k, v: v.cast("string").isNotNull() & ~F.array_contains("_held", k))
     return wide.select(*by, line, *[typed[c].alias(c) for c in columns], failed.alias("failed_casts"), F.when(F.size(rest) > 0, F.to_json(rest)).alias("rest"))

@@ -64,39 +64,24 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_orphans(spark, d))
 
 
-RULE_COLUMNS = {
-    "index": ("bigint", ["index", "Index", "idx", "no", "row_no", "line_index", "Unnamed: 0"]),
-    "rule_id": ("string", ["rule_id", "rule-id", "rule id", "ruleId", "RULE_ID", "rule_key", "rid", "규칙ID"]),
-    "reference_parent_cas": ("string", ["reference_parent_cas"]),
-    "reference_parent_name": ("string", ["reference_parent_name", "parent_name", "parentName", "모물질"]),
-    "designation_id": ("string", ["designation_id", "designation", "designationId", "unique_no"]),
-    "automation_status": ("string", ["automation_status", "automationStatus", "status"]),
-    "source_verified": ("boolean", ["source_verified", "is_verified", "verified"]),
-    "salt_scope": ("string", ["salt_scope", "saltScope", "scope"]),
-    "frozen_date": ("date", ["frozen_date", "freeze_date", "frozen_on"]),
-    "notes": ("string", ["notes", "notes ", "Notes", "note", "comment", "remarks", "free_text", "비고"]),
-    "isomer_scope": ("string", ["isomer_scope", "isomers"]),
-    "exemption": ("string", ["exemption", "exempt_text"]),
-    "batch_no": ("bigint", ["batch_no", "batchNo", "batch"]),
-    "reviewer_team": ("string", ["reviewer_team", "team"]),
-    "confidence": ("double", ["confidence", "score"]),
-}
-
-
-def _rules(spark: SparkSession, d: str) -> DataFrame:
-    return drift.records(table(spark, d, "rule_file_records"), "payload", ["feed_id", "file_seq"], "line_no")
+_FEED = ("payload", ["feed_id", "file_seq"], "line_no")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Schema changes between successive files of each feed."""
-    return drift.schema_changes(_rules(spark, d), "feed_id", "file_seq", "line_no", "reference_parent_cas")
+    return drift.schema_changes(drift.parsed(table(spark, d, "rule_file_records"), *_FEED), "feed_id", "file_seq", "reference_parent_cas")
 
 
 def p5_table(spark: SparkSession, d: str) -> DataFrame:
-    """All rule files as one typed table, with the casts that failed and the values that no column holds."""
-    recs = cut(_rules(spark, d))  # parsed once, used for the names and the table
-    columns = drift.later_names(recs, "feed_id", "file_seq", "line_no", "reference_parent_cas", RULE_COLUMNS)
-    return drift.consistent_table(recs, ["feed_id", "file_seq"], "line_no", columns)
+    """All rule files as one typed table of all their fields, with the casts that failed and the values that no column holds."""
+    recs = cut(drift.records(table(spark, d, "rule_file_records"), *_FEED))  # parsed once, used for the columns and the table
+    by = ["feed_id", "file_seq"]
+    return drift.consistent_table(recs, by, "line_no", drift.inferred_columns(recs, *by, "reference_parent_cas", [*by, "line_no"]))
+
+
+def p5_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of each rule file and those that are no record."""
+    return drift.rejected(table(spark, d, "rule_file_records"), *_FEED)
 
 
 COPIES = {
@@ -121,7 +106,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("dataset", "difference").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_sizes, p4_found, p4_report, p5_found, p5_table, p7_found, p7_report)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_sizes, p4_found, p4_report, p5_found, p5_table, p5_rejected, p7_found, p7_report)}
 _BL = r"[\s\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _strip = lambda c: f"regexp_replace(regexp_replace({c}, '^{_BL}+', ''), '{_BL}+$', '')"
 _key = lambda c: f"nullif(lower({_strip(c)}), '')"
@@ -146,9 +131,30 @@ def _copies_sql() -> str:
 
 
 _COPIES = _copies_sql()
+_RECORDS = f"""with once as (select feed_id, file_seq, line_no, min(payload) as payload from rule_file_records group by 1, 2, 3), body as (select feed_id, file_seq, line_no, {_strip("payload")} as p from once),
+good as (select *, coalesce(starts_with(p, '{{') and json_valid(p), false) as ok from body), r as (select feed_id, file_seq, p, json_extract_string(p, '$.reference_parent_cas') as ident from good where ok)"""
+_CHANGES = _RECORDS + """,
+v as (select feed_id, file_seq, ident, k, json_extract(p, '$."' || k || '"') as j from (select *, unnest(json_keys(p)) as k from r)),
+t as (select feed_id, file_seq, ident, k, case when json_type(j) in ('UBIGINT', 'BIGINT', 'DOUBLE') then 'number' when json_type(j) <> 'NULL' then json_type(j) end as kind, case when json_type(j) <> 'NULL' then coalesce(j ->> '$', cast(j as varchar)) end as x from v),
+f as (select feed_id, file_seq, k, array_to_string(list_sort(list(distinct kind)), '|') as kinds from t group by 1, 2, 3),
+s as (select feed_id, file_seq, lag(file_seq) over (partition by feed_id order by file_seq) as prev from (select distinct feed_id, file_seq from f)),
+n as (select s.feed_id, s.file_seq, prev, k, kinds from s join f on f.feed_id = s.feed_id and f.file_seq = s.file_seq where prev is not null), o as (select s.feed_id, s.file_seq, prev, k, kinds from s join f on f.feed_id = s.feed_id and f.file_seq = s.prev),
+b as (select coalesce(n.feed_id, o.feed_id) as feed_id, coalesce(n.file_seq, o.file_seq) as file_seq, coalesce(n.prev, o.prev) as prev, o.k as old, n.k as new, o.kinds as k0, n.kinds as k1 from n full join o on n.feed_id = o.feed_id and n.file_seq = o.file_seq and n.k = o.k),
+g as (select * from b where new is null), c as (select * from b where old is null),
+w as (select distinct on (feed_id, file_seq, ident, k) feed_id, file_seq, ident, k, x from t where ident is not null), i as (select distinct feed_id, file_seq, ident from r where ident is not null),
+p as (select g.feed_id, g.file_seq, g.old, c.new, count(*) filter (a.x = z.x) as same, count(*) filter (a.x is not null or z.x is not null) as either from g join c on g.feed_id = c.feed_id and g.file_seq = c.file_seq
+ join i ia on ia.feed_id = g.feed_id and ia.file_seq = g.prev join i iz on iz.feed_id = g.feed_id and iz.file_seq = g.file_seq and iz.ident = ia.ident
+ left join w a on a.feed_id = ia.feed_id and a.file_seq = ia.file_seq and a.ident = ia.ident and a.k = g.old left join w z on z.feed_id = iz.feed_id and z.file_seq = iz.file_seq and z.ident = iz.ident and z.k = c.new group by 1, 2, 3, 4),
+m as (select * from (select *, row_number() over (partition by feed_id, file_seq, old order by same desc, new) as ra, row_number() over (partition by feed_id, file_seq, new order by same desc, old) as rb from p where same * 2 > either) where ra = 1 and rb = 1)
+select feed_id, file_seq, 'renamed' as change_kind, old as field_before, new as field_after from m
+union all select feed_id, file_seq, 'added', '', new from c where not exists (select 1 from m where m.feed_id = c.feed_id and m.file_seq = c.file_seq and m.new = c.new)
+union all select feed_id, file_seq, 'removed', old, '' from g where not exists (select 1 from m where m.feed_id = g.feed_id and m.file_seq = g.file_seq and m.old = g.old)
+union all select feed_id, file_seq, 'retyped', old, new from b where k0 <> k1 and k0 <> '' and k1 <> ''"""
 SQL = {
     "p4_found": _ORPHANS + "select table_name, record_id, reason from f where reason is not null",
     "p4_report": _ORPHANS + "select table_name, strftime(seen_at, '%Y-%m') as month, reason, count(*) as n from f where reason is not null group by 1, 2, 3",
+    "p5_found": _CHANGES,
+    "p5_rejected": _RECORDS + " select feed_id, file_seq, count(*) as n_lines, count(*) filter (not ok) as n_rejected from good group by 1, 2",
     "p7_found": _COPIES + " select dataset, record_id, difference from f",
     "p7_report": _COPIES + " select dataset, difference, count(*) as n from f group by 1, 2",
 }

@@ -9,7 +9,7 @@ def recs(spark, files):
 
 
 def changes(spark, files):
-    return {tuple(r)[1:] for r in drift.schema_changes(recs(spark, files), "feed", "seq", "line", "id").collect()}
+    return {tuple(r)[1:] for r in drift.schema_changes(recs(spark, files), "feed", "seq", "id").collect()}
 
 
 def test_changes(spark):
@@ -31,7 +31,7 @@ def test_rename_needs_most_values(spark):
 
 def test_one_file_and_empty(spark):
     assert changes(spark, {1: [{"id": "1"}]}) == set()
-    assert drift.schema_changes(recs(spark, {1: [None]}).limit(0), "feed", "seq", "line", "id").count() == 0
+    assert drift.schema_changes(recs(spark, {1: [None]}).limit(0), "feed", "seq", "id").count() == 0
 
 
 def test_consistent_table_reports_failed_casts(spark):
@@ -40,22 +40,55 @@ def test_consistent_table_reports_failed_casts(spark):
     assert {(r["id"], r["n"], r["failed_casts"]) for r in t.collect()} == {("1", 3, ""), ("2", None, "n"), ("3", 8, "")}
 
 
-def test_consistent_table_keeps_every_value(spark):
-    v = recs(
+def test_nested_fields_and_sets_of_types(spark):
+    got = changes(
         spark,
         {
-            1: [{"id": "1", "n": 3, "team": ["a"], "z": None}, {"id": "2", "n": "x7", "no": 5}],
-            2: [{"id": "1", "count": 3, "crew": ["a"]}, {"id": "2", "count": "x7"}],
+            1: [{"id": "1", "x": {"a": 1}, "y": [1], "w": [1, "u"]}, {"id": "2", "y": ["v"]}],
+            2: [{"id": "1", "x": {"a": "s", "b": 2}, "y": [1], "w": [1, "u"], "v": {"q": 1}}, {"id": "2", "y": 3}, {"id": "3", "y": "z"}],
+            3: [{"id": "1", "x": 5, "y": "z", "w": [1, "u"]}],
         },
     )
-    columns = drift.later_names(v, "feed", "seq", "line", "id", {"id": ("string", ["id"]), "n": ("bigint", ["n", "no"])})
-    assert columns == {"id": ("string", ["id"]), "n": ("bigint", ["n", "no", "count"])}
-    t = drift.consistent_table(v, ["feed", "seq"], "line", columns)
-    got = {(r["seq"], r["id"]): (r["n"], r["failed_casts"], r["rest"] and json.loads(r["rest"])) for r in t.collect()}
-    assert got == {(1, "1"): (3, "", {"team": ["a"]}), (1, "2"): (None, "n", {"n": "x7", "no": 5}), (2, "1"): (3, "", {"crew": ["a"]}), (2, "2"): (None, "n", {"count": "x7"})}
+    assert got == {
+        (2, "retyped", "x.a", "x.a"), (2, "added", "", "x.b"), (2, "retyped", "y", "y"), (2, "added", "", "v"),
+        (3, "retyped", "x", "x"), (3, "retyped", "y", "y"), (3, "removed", "v", ""),
+    }
+
+
+def test_schemas_with_odd_names():
+    got = drift.flattened("OBJECT<`a b: c`: OBJECT<`p.q`: VOID, `x``y`: ARRAY<OBJECT<k: BIGINT>>, `z,>`: DECIMAL(2,1)>>")
+    names = [(p.replace(drift.STEP, "/"), k) for p, k in got]
+    assert names == [("", 16), ("/a b: c", 16), ("/a b: c/p.q", 0), ("/a b: c/x`y", 8), ("/a b: c/x`y/[]", 16), ("/a b: c/x`y/[]/k", 2), ("/a b: c/z,>", 2)]
+
+
+def table(spark, files):
+    v = recs(spark, files)
+    columns = drift.inferred_columns(v, "feed", "seq", "id", ["feed", "seq", "line"])
+    return columns, drift.consistent_table(v, ["feed", "seq"], "line", columns)
+
+
+def test_columns_are_found_and_keep_every_value(spark):
+    columns, t = table(
+        spark,
+        {
+            1: [{"id": "1", "n": 3, "team": ["a"], "z": None, "seq": True}, {"id": "2", "n": "x7", "no`q": 5}, {"id": "3", "n": 4}],
+            2: [{"id": "1", "Größe ": 3, "team": ["a"]}, {"id": "2", "Größe ": "x7"}, {"id": "3", "Größe ": 4}],
+        },
+    )
+    assert columns == {"id": ("string", ["id"]), "Größe ": ("bigint", ["Größe ", "n"]), "team": ("string", ["team"]), "no`q": ("bigint", ["no`q"]), "seq_": ("boolean", ["seq"]), "z": ("string", ["z"])}
+    got = {(r["seq"], r["id"]): (r["Größe "], r["team"], r["no`q"], r["seq_"], r["failed_casts"], r["rest"] and json.loads(r["rest"])) for r in t.collect()}
+    assert got == {
+        (1, "1"): (3, '["a"]', None, True, "", None), (1, "2"): (None, None, 5, None, "Größe ", {"n": "x7"}), (1, "3"): (4, None, None, None, "", None),
+        (2, "1"): (3, '["a"]', None, None, "", None), (2, "2"): (None, None, None, None, "Größe ", {"Größe ": "x7"}), (2, "3"): (4, None, None, None, "", None),
+    }
+
+
+def test_names_that_meet_in_a_file_stay_apart(spark):
+    columns, _ = table(spark, {1: [{"id": "1", "a": 1}], 2: [{"id": "1", "x": 1}], 3: [{"id": "1", "a": 1, "b": 1.5}], 4: [{"id": "1", "x": 1, "a": 2}]})
+    assert not any({"a", "x"} <= set(names) for _, names in columns.values())
 
 
-def test_name_of_two_columns_stays_in_rest(spark):
-    v = recs(spark, {1: [{"id": "1", "a": 1}], 2: [{"id": "1", "x": 1}], 3: [{"id": "1", "b": 1}]})
-    columns = drift.later_names(v, "feed", "seq", "line", "id", {"a": ("bigint", ["a"]), "b": ("bigint", ["b"])})
-    assert columns == {"a": ("bigint", ["a"]), "b": ("bigint", ["b"])}
+def test_rejected_lines_are_counted(spark):
+    rows = [("f", 1, 1, "{}"), ("f", 1, 2, "no"), ("f", 1, 2, "no"), ("f", 1, 3, None), ("f", 1, 4, '{"a":1,"a":2}'), ("f", 2, 1, '\ufeff{"a":1}\r')]
+    df = spark.createDataFrame(rows, "feed string, seq int, line int, payload string")
+    assert {tuple(r) for r in drift.rejected(df, "payload", ["feed", "seq"], "line").collect()} == {("f", 1, 4, 3), ("f", 2, 1, 0)}

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Longest context, and up to which length every context is kept.
 ORDER, SHORT = 10, 4
 #: Least share of all texts that end in a longer context.
@@ -353,7 +355,7 @@ def truncated(docs: DataFrame, record_id: str, columns: str | Sequence[str], lan
     """(record_id, column, lang, log_odds, cut) of each text that isn't blank."""
     rows = long_rows(docs, record_id, [columns] if isinstance(columns, str) else list(columns), lang)
     model = fit(rows)
-    marks = scored(rows, model)
+    marks = cut(scored(rows, model))  # scored once, for the limits and the result
     found = limits(marks, model)
     by = docs.sparkSession.createDataFrame(list(found.items()) or [("", 0.0)], "grp string, _limit double")
     return marks.join(F.broadcast(by), "grp").select("record_id", "column", "lang", "log_odds", (F.col("log_odds") < F.col("_limit")).alias("cut"))  # one row per column and language

@@ -53,6 +53,18 @@ def carried(df: DataFrame, by: str, order: Sequence[str], starts: Column, value:
     return out.withColumns({"segment": F.col("segment") + F.col("_n0"), "carried": F.coalesce("carried", "_v0")}).drop("_s", "_v", "_block", "_by", "_b", "_n0", "_v0")
 
 
+def running_sums(df: DataFrame, by: str, order: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """df with each value replaced by its sum over the rows of the key up to this one, put together by blocks."""
+    b = in_blocks(df, by, order)
+    w = Window.partitionBy(by, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumns({v: F.sum(v).over(w) for v in values})
+    sums = b.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(*[F.sum(v).alias(f"_n_{v}") for v in values])
+    before = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    prior = sums.select("_by", "_b", *[F.coalesce(F.sum(f"_n_{v}").over(before), F.lit(0)).alias(f"_n_{v}") for v in values])
+    out = local.join(prior, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")))
+    return out.withColumns({v: F.col(v) + F.col(f"_n_{v}") for v in values}).drop("_block", "_by", "_b", *[f"_n_{v}" for v in values])
+
+
 def place(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     """df with place: row number within each key, counted by blocks."""
     b = in_blocks(df, by, order)
@@ -74,9 +86,28 @@ def top_distinct(df: DataFrame, by: str, distinct: str, order: Sequence[Column],
 def balanced(df: DataFrame, label: Column, ident: str, seed: str, ratio: float = 1.0) -> DataFrame:
     """All positives and at most ratio times as many negatives, those with the smallest seeded hashes.
 
-    The negatives are found by an ordered limit: no window over one key.
+    The last hash is found in steps of 12 bits by counts of at most 4096 rows
+    each; no task sorts or keeps all negatives.
     """
-    pos, neg = df.filter(label), df.filter(~F.coalesce(label, F.lit(False)))
-    n = int(round(pos.count() * ratio))
-    h = F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256)
-    return pos.unionByName(neg.orderBy(h, ident).limit(n))
+    hashed = df.withColumn("_x", F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256)).withColumn("_h", F.conv(F.substring("_x", 1, 15), 16, 10).cast("long"))
+    neg = ~F.coalesce(label, F.lit(False))
+    n = int(round(df.filter(label).count() * ratio))
+    # whole hashes below this prefix are taken, and what is left of n comes from the prefix itself
+    prefix, bits, left = 0, 0, n
+    first = lambda b: F.shiftright("_h", 60 - b)
+    while bits < 60:
+        within = hashed.filter(neg & (first(bits) == prefix)) if bits else hashed.filter(neg)
+        counts = sorted((r["_p"], r["n"]) for r in within.groupBy(first(bits + 12).alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for p, m in counts:
+            if left <= m:
+                prefix = p
+                break
+            left -= m
+        else:
+            return df  # no more negatives than wanted
+        bits += 12
+        if m <= 1000:
+            break
+    below = hashed.filter(label | (neg & (first(bits) < prefix)))
+    last = hashed.filter(neg & (first(bits) == prefix)).orderBy("_x", ident).limit(left)  # of at most a thousand rows
+    return below.unionByName(last).drop("_x", "_h")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import key_form
 from ..operators import drift, orphans, packed, reconcile
 from ..session import cut, table
 
@@ -64,6 +65,16 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_counts(_orphans(spark, d))
 
 
+def p4_composite(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose pair of rule and designation, either of them missing, no curated rule of their time has."""
+    pair = ["rule_id", "designation_id"]
+    refs = orphans.references(table(spark, d, "broad_salt_validation_cases"), "broad_salt_validation_cases", "case_id", "rules", pair, "loaded_at")
+    rules = table(spark, d, "broad_salt_rules_curated_13")
+    gone = table(spark, d, "key_deletions").filter("table_name = 'broad_salt_rules_curated_13'").select(key_form(F.col("key_value")).alias("_k"), "deleted_at").groupBy("_k").agg(F.min("deleted_at").alias("deleted_at"))
+    dated = rules.join(gone, key_form(F.col("rule_id")) == F.col("_k"), "left")
+    return orphans.find_orphans(refs, orphans.targets(dated, "rules", pair, "loaded_at", "deleted_at"), 2, "partial").select("record_id", "reason")
+
+
 _FEED = ("payload", ["feed_id", "file_seq"], "line_no")
 
 
@@ -106,7 +117,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return p7_found(spark, d).groupBy("dataset", "difference").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_sizes, p4_found, p4_report, p5_found, p5_table, p5_rejected, p7_found, p7_report)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_sizes, p4_found, p4_report, p4_composite, p5_found, p5_table, p5_rejected, p7_found, p7_report)}
 _BL = r"[\s\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 _strip = lambda c: f"regexp_replace(regexp_replace({c}, '^{_BL}+', ''), '{_BL}+$', '')"
 _key = lambda c: f"nullif(lower({_strip(c)}), '')"
@@ -153,6 +164,14 @@ union all select feed_id, file_seq, 'retyped', old, new from b where k0 <> k1 an
 SQL = {
     "p4_found": _ORPHANS + "select table_name, record_id, reason from f where reason is not null",
     "p4_report": _ORPHANS + "select table_name, strftime(seen_at, '%Y-%m') as month, reason, count(*) as n from f where reason is not null group by 1, 2, 3",
+    "p4_composite": f"""with r as (select case_id as record_id, {_key("rule_id")} as a, {_key("designation_id")} as b, min(loaded_at) as t from broad_salt_validation_cases group by 1, 2, 3),
+x as (select {_key("key_value")} as k, min(deleted_at) as x from key_deletions where table_name = 'broad_salt_rules_curated_13' group by 1),
+g as (select {_key("rule_id")} as a, {_key("designation_id")} as b, min(loaded_at) as f from broad_salt_rules_curated_13 group by 1, 2), k as (select g.*, x from g left join x on g.a = x.k),
+whole as (select record_id, case when f is null then 'missing' when x <= t then 'deleted' when f > t then 'late' end as reason from r left join k on r.a = k.a and r.b = k.b where r.a is not null and r.b is not null),
+m as (select r.a, r.b, t, count(f) as n, count(*) filter (f <= t) as come, count(*) filter (f <= t and (x is null or greatest(x, f) > t)) as live from (select distinct a, b, t from r where (a is null) <> (b is null)) r
+ left join k on (r.a is null or r.a = k.a) and (r.b is null or r.b = k.b) group by 1, 2, 3),
+part as (select record_id, case when n = 0 then 'missing' when come = 0 then 'late' when live = 0 then 'deleted' end as reason from r join m on r.a is not distinct from m.a and r.b is not distinct from m.b and r.t = m.t)
+select record_id, reason from (select * from whole union all select * from part) where reason is not null""",
     "p5_found": _CHANGES,
     "p5_rejected": _RECORDS + " select feed_id, file_seq, count(*) as n_lines, count(*) filter (not ok) as n_rejected from good group by 1, 2",
     "p7_found": _COPIES + " select dataset, record_id, difference from f",

@@ -39,6 +39,19 @@ def test_composite_keys_by_null_mask(spark):
     assert result(O.find_orphans(r, k, 2, "full")) == {("2", "missing"), ("3", "missing"), ("4", "missing")}
 
 
+def test_partial_keys_meet_many_targets_along_time(spark):
+    k = known(spark, [("a", "1", T(1), T(2)), ("a", "2", T(3), None), ("b", "1", T(1), T(4)), ("b", "2", T(2), T(3)), ("c", "1", T(8), None), ("d", "1", T(6), T(5))], ("a", "b"))
+    rows = [("1", "a", None, T(5), ""), ("2", "a", None, T(2), ""), ("3", "b", None, T(3), ""), ("4", "b", None, T(4), ""), ("5", "c", None, T(5), ""), ("6", "x", None, T(5), ""), ("7", None, "2", T(2), ""), ("8", "d", None, T(7), ""), ("9", "b", None, T(1), "")]
+    assert result(O.find_orphans(refs(spark, rows, ("a", "b")), k, 2, "partial")) == {("2", "deleted"), ("4", "deleted"), ("5", "late"), ("6", "missing"), ("8", "deleted")}
+
+
+def test_hot_keys_in_parts(spark):
+    rows = [(str(i), "x" if i % 3 else "y", None, T(5), "") for i in range(300)]
+    k = known(spark, [("x", None, T(1), T(2)), ("y", None, T(1), None)])
+    got = result(O.find_orphans(refs(spark, rows), k, hot=7))
+    assert got == {(str(i), "deleted") for i in range(300) if i % 3}
+
+
 def test_mere_deletions_are_no_keys_and_empty_tables(spark):
     r = refs(spark, [("1", "x", None, T(5), "")])
     gone = O.targets(spark.createDataFrame([("x", T(1))], "a string, gone timestamp"), "k", ["a"], None, "gone")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BLANK
+from ..functions.text import strip_blank
 from ..session import cut
 
 #: JSON types as bits, so that the set of a field's types is one number.
@@ -33,7 +33,9 @@ STEP = "\x1f"
 
 
 def _body(payload: str) -> Column:
-    return F.regexp_replace(F.col(payload), f"^{BLANK}+|{BLANK}+$", "")
+    """The text of a JSON object without what is around it, null where it doesn't begin as one."""
+    body = strip_blank(F.col(payload))
+    return F.when(body.startswith("{"), body)
 
 
 def parsed(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
@@ -41,9 +43,9 @@ def parsed(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFra
 
     Objects with a field twice aren't valid records.
     """
-    body = df.select(*by, line, _body(payload).alias("_body")).filter(F.col("_body").startswith("{"))
-    objects = body.select(*by, line, F.try_parse_json("_body").alias("_v")).filter(F.col("_v").isNotNull())
-    return objects.select(*by, line, F.expr("cast(_v as map<string, variant>)").alias("fields"))
+    fields = F.try_parse_json(_body(payload)).cast("map<string, variant>")
+    # out of a generator, so that a filter doesn't parse a second time
+    return df.select(*by, line, F.explode(F.array(fields)).alias("fields")).filter(F.col("fields").isNotNull())
 
 
 def records(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
@@ -54,9 +56,8 @@ def records(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFr
 
 def rejected(df: DataFrame, payload: str, by: Sequence[str], line: str) -> DataFrame:
     """(by.., n_lines, n_rejected): lines of each file, and those that aren't a record."""
-    once = df.groupBy(*by, line).agg(F.min(payload).alias(payload)).select(*by, _body(payload).alias("_body"))
-    good = F.col("_body").startswith("{") & F.try_parse_json("_body").isNotNull()
-    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(~F.coalesce(good, F.lit(False))).alias("n_rejected"))
+    once = df.groupBy(*by, line).agg(F.min(payload).alias(payload)).select(*by, F.try_parse_json(_body(payload)).isNull().alias("_bad"))
+    return once.groupBy(*by).agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("_bad").alias("n_rejected"))
 
 
 def _text(name: Column) -> Column:
@@ -64,6 +65,11 @@ def _text(name: Column) -> Column:
     return F.element_at("fields", name).cast("string")
 
 
+def _hash(name: Column) -> Column:
+    """A field's value as a number, null for a null or absent one; what is compared and shuffled in its place."""
+    return F.when(_text(name).isNotNull(), F.xxhash64(_text(name)))
+
+
 @lru_cache(4096)
 def flattened(schema: str) -> tuple[tuple[str, int], ...]:
     """(path below the value, bit of its type) of all levels of a variant's schema, the value itself first."""
@@ -160,7 +166,7 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataF
     ident = _text(F.lit(identity))
     sides = turns.select(feed, seq, F.explode(F.array(F.struct(F.col("prev").alias("at"), F.lit(0).alias("side"), F.col("gone").alias("names")), F.struct(F.col(seq).alias("at"), F.lit(1).alias("side"), F.col("come").alias("names")))).alias("_s")).select(feed, seq, "_s.*")
     held = recs.select(F.col(feed), F.col(seq).alias("at"), "fields").filter(ident.isNotNull()).join(sides, [feed, "at"])
-    held = held.select(feed, seq, "side", ident.alias("ident"), F.transform("names", lambda c: F.struct(c.alias("name"), _text(c).alias("value"))).alias("vals"))
+    held = held.select(feed, seq, "side", ident.alias("ident"), F.transform("names", lambda c: F.struct(c.alias("name"), _hash(c).alias("value"))).alias("vals"))
     mine = lambda side: F.max(F.when(F.col("side") == side, F.col("vals")))
     met = held.groupBy(feed, seq, "ident").agg(mine(0).alias("a"), mine(1).alias("b")).filter("a is not null and b is not null")
     x = met.select(feed, seq, F.explode("a").alias("a"), "b").select(feed, seq, "a", F.explode("b").alias("b"))

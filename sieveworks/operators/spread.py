@@ -18,6 +18,6 @@ def spread_join(rows: DataFrame, classes: DataFrame, keys: Sequence[str], by: st
     told apart by. The list of hot classes has at most rows / hot entries.
     """
     parts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    few = classes.filter(F.col("n") > hot).select(*keys, parts.alias("_parts"))
+    few = classes.filter(F.col("n") > hot).select(*keys, parts.alias("_parts")).distinct()
     salted = rows.join(F.broadcast(few), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     return salted.join(classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))), [*keys, "_salt"], how).drop("_salt")

@@ -18,7 +18,7 @@ aggregation, and rows of a hot class meet it in as many parts as its size asks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import narrow
+from ..operators.spread import spread_join
 from ..session import cut
 from . import names
 
-#: Rows of one class that one task may get.
-HOT = 200_000
-
 _SEEDED = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _WEIGHT = np.zeros(256, np.uint64)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
@@ -63,17 +61,6 @@ def _invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h.astype(np.int64))], [*b.schema.names, "cheap"])
 
 
-def spread_join(rows: DataFrame, classes: DataFrame, keys: Sequence[str], by: str, hot: int = HOT) -> DataFrame:
-    """rows joined with classes (keys.., n, ..) on keys, hot classes in parts of at most about ``hot`` rows.
-
-    The list of hot classes has at most rows / hot entries.
-    """
-    parts = F.ceil(F.col("n") / F.lit(hot)).cast("int")
-    few = classes.filter(F.col("n") > hot).select(*keys, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(few), list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    return salted.join(classes.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))), [*keys, "_salt"]).drop("_salt")
-
-
 def records(df: DataFrame, table_name: str, record_id: str, rule: str, name: str, number: str, label: str) -> DataFrame:
     text = lambda c: F.coalesce(narrow(F.col(c).cast("string")), F.lit(""))
     return df.select(F.lit(table_name).alias("table_name"), F.col(record_id).cast("string").alias("record_id"), text(rule).alias("rule"), text(name).alias("name"), text(number).alias("number"), text(label).alias("label")).filter(F.col("record_id").isNotNull())

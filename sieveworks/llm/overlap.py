@@ -2,20 +2,26 @@
 
 Records are substances: a name and a registry number. The distinct numbers and
 names of the evaluation split are indexed in bounded shards (``fmindex``), and
-the distinct ones of the training split are streamed through backward search.
+the distinct ones of the training split are streamed through backward search,
+which finds maximal matches and merges two of them over one slip of a letter.
 A pair is an overlap if both numbers are valid and equal, or if a number is
 missing or invalid on either side and the names are equal but for at most one
-slip of a letter.
-
-Shards are routed by what a single slip can't touch: either the first or the
-last half of the name and its digits. So each training name visits at most a
-few shards, whatever their number. A shard that many names share (a common
-half) is split into parts of bounded size, which its queries all visit.
-
-Words are sorted; as a slip may change their order, the evaluation side is
-indexed under every order that moving one word gives. Null and blank names
-match nothing by name; null, blank and invalid numbers count as missing.
-Repeated deliveries count once; empty splits give an empty result.
+slip.
+
+Word order doesn't count, and a slip touches one word. So a name is taken in as
+many forms as it has words, each with one word in front of the sorted others:
+the others agree, and so does the first or the last half of the word. Shards
+are routed by this agreeing part and the word's digits, so a name visits as
+many shards as it has forms, whatever their number. Others that are long stand
+for themselves by their hash, so the forms of a name grow as its words do.
+
+Routes are counted on both sides. A shard that many evaluation names share is
+cut into parts, which its patterns all visit; one that many training names
+visit is searched in several slices, each with an index of its own.
+
+Null and blank names match nothing by name; null, blank and invalid numbers
+count as missing. Repeated deliveries count once; empty splits give an empty
+result.
 """
 
 from __future__ import annotations
@@ -28,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import spread_join
 from ..session import cut, shuffle_width
 from . import names
-from .dedupe import spread_join
 from .fmindex import Index
 
-#: Texts of one shard; its index takes about 1.5 kB a text while it is built.
+#: Texts of one shard; its index takes about three bytes a character, and some 40 while it is built.
 SHARD_TEXTS = 12_000
-#: Patterns searched at once.
-SEARCHED = 50_000
-
+#: Patterns of one shard that one task searches, and patterns searched at once.
+SLICE_PATTERNS, SEARCHED = 300_000, 50_000
+#: Characters of the other words that are kept as they stand.
+OTHERS = 64
 
 def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFrame:
     """(record_id, number, name): valid registry number or null, sorted words or null; written once, repeated deliveries as they are."""
@@ -47,43 +54,39 @@ def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFra
 
 
 def _half(length: Column) -> Column:
+    """The part of a word that a slip in its other half can't touch, by the length of the training side's word."""
     return F.greatest(F.floor((length - 1) / 2), F.lit(0)).cast("int")
 
 
-def _orders(name: Column) -> Column:
-    """The sorted words, and every order that moving one of them gives."""
-    words = F.split(name, " ")
+def _forms(named: DataFrame) -> DataFrame:
+    """named with ``word`` and ``others``: each word of a name in front of the rest, and an empty word in front of all."""
+    words = F.split("name", " ")
     n = F.size(words)
-    one = lambda i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.array_join(_moved(words, n, i, j), " "))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), one)))
-
-
-def _moved(words: Column, n: Column, i: Column, j: Column) -> Column:
-    rest = F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, n))
-    return F.concat(F.slice(rest, F.lit(1), j), F.array(F.element_at(words, i)), F.slice(rest, j + 1, n))
+    others = F.array_join(F.concat(F.slice(words, F.lit(1), F.col("_i")), F.slice(words, F.col("_i") + 2, n)), " ")
+    one = named.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
+    one = one.select("key", "seen", F.coalesce(F.get(words, F.col("_i")), F.lit("")).alias("word"), others.alias("others"))
+    return one.withColumn("others", F.when(F.length("others") > OTHERS, F.hex(F.xxhash64("others"))).otherwise(F.col("others")))
 
 
 def _entries(split: DataFrame, indexed: bool) -> DataFrame:
-    """(route, kind, flag, text, tail, key): one row per distinct text and shard it belongs to or visits.
+    """(route, kind, text, tail, key, seen): one row per form of a distinct text and shard it belongs to or visits.
 
-    kind n: numbers, exact; l: slips on the left; r: reversed names, slips on
-    the right. key: hash of number or of (name, has a valid number).
+    kind 0: numbers, exact; 1: slips on the left of a word; 2: the word
+    reversed, slips on its right. seen: bit 1 if the name stands without a
+    valid number, bit 2 with one.
     """
     number = split.filter(F.col("number").isNotNull()).select("number").distinct().select(
-        F.xxhash64(F.lit("n"), "number").alias("route"), F.lit("n").alias("kind"), F.lit(False).alias("flag"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key")
+        F.xxhash64(F.lit("n"), "number").alias("route"), F.lit(0).cast("byte").alias("kind"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key"), F.lit(3).cast("byte").alias("seen")
     )
-    name = split.filter(F.col("name").isNotNull()).select("name", F.col("number").isNotNull().alias("valid")).distinct()
-    name = name.withColumn("key", F.xxhash64(F.lit("w"), "name", "valid"))
-    # names with a valid number meet only names without one
-    if indexed:
-        name = name.withColumn("flag", F.col("valid")).withColumn("text", F.explode(_orders(F.col("name"))))
-    else:
-        name = name.withColumn("flag", F.explode(F.when(F.col("valid"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True))))).withColumn("text", F.col("name"))
-    name = name.withColumn("kind", F.explode(F.array(F.lit("l"), F.lit("r")))).withColumn("text", F.when(F.col("kind") == "r", F.reverse("text")).otherwise(F.col("text")))
-    size = F.length("text")
-    name = name.withColumn("tail", F.explode(F.array_distinct(F.array(_half(size), _half(size - 1)))))
-    route = F.xxhash64("kind", "flag", "tail", F.right("text", F.col("tail")), names.digits(F.col("text")))
-    return number.unionByName(name.select(route.alias("route"), "kind", "flag", "text", "tail", "key"))
+    named = split.filter(F.col("name").isNotNull()).groupBy("name").agg(F.bit_or(F.when(F.col("number").isNull(), 1).otherwise(2)).cast("byte").alias("seen"))
+    form = _forms(named.withColumn("key", F.xxhash64(F.lit("w"), "name")))
+    size = F.length("word")
+    tails = [size, size - 1, size + 1] if indexed else [size]  # a slip changes the length by one at most
+    kinds = F.when(size > 0, F.array(*[F.lit(k).cast("byte") for k in (1, 2)])).otherwise(F.array(F.lit(1).cast("byte")))
+    form = form.withColumn("kind", F.explode(kinds)).withColumn("half", F.explode(F.array_distinct(F.array(*[F.least(_half(t), size) for t in tails]))))
+    form = form.withColumn("word", F.when(F.col("kind") == 2, F.reverse("word")).otherwise(F.col("word")))
+    route = F.xxhash64("kind", "half", F.right("word", F.col("half")), "others", names.digits(F.col("word")))
+    return number.unionByName(form.select(route.alias("route"), "kind", F.concat_ws(" ", "word", "others").alias("text"), (F.col("half") + F.length("others") + 1).alias("tail"), "key", "seen"))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,24 +105,30 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if mine is None or not len(mine):
                     index[kind] = None
                 else:
-                    # one text may stand for several keys and tails
+                    # one text may stand for several keys and routes
                     text, which = np.unique(mine["text"].to_numpy(object), return_inverse=True)
-                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which.reshape(-1), "entry": mine["key"].to_numpy(), "tail": mine["tail"].to_numpy(), "flag": mine["flag"].to_numpy()}))
+                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which.reshape(-1), "entry": mine["key"].to_numpy(), "route": mine["route"].to_numpy(), "e_seen": mine["seen"].to_numpy()}))
             if index[kind] is None:
                 continue
             idx, keys = index[kind]
-            text, tails = part["text"].tolist(), part["tail"].to_numpy()
-            p, t, e = idx.search(text, tails, kind != "n")
+            # several names may have the same form
+            text, which = np.unique(part["text"].to_numpy(object), return_inverse=True)
+            forms = pd.DataFrame({"p": which.reshape(-1), "tail": part["tail"].to_numpy()}).drop_duplicates()
+            p, t, e, span = idx.search(text[forms["p"].to_numpy()].tolist(), forms["tail"].to_numpy(), kind != 0)
             if not len(p):
                 continue
-            # tails and digits of a match agree, so with the same length of tail and flag it has the same route
-            hit = pd.DataFrame({"query": part["key"].to_numpy()[p], "tail": tails[p], "flag": part["flag"].to_numpy()[p], "t": t, "slips": e}).merge(keys, on=["t", "tail", "flag"])
+            hit = pd.DataFrame({"p": forms["p"].to_numpy()[p], "tail": forms["tail"].to_numpy()[p], "t": t, "slips": e, "span": span})
+            asked = pd.DataFrame({"p": which.reshape(-1), "tail": part["tail"].to_numpy(), "route": part["route"].to_numpy(), "query": part["key"].to_numpy(), "q_seen": part["seen"].to_numpy()})
+            hit = hit.merge(asked, on=["p", "tail"]).merge(keys, on=["t", "route"])
+            # names that both stand with valid numbers only don't meet
+            hit = hit[(hit["q_seen"] != 2) | (hit["e_seen"] != 2)].sort_values(["slips", "span"], ascending=[True, False]).drop_duplicates(["query", "entry"])
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(hit["query"]), pa.array(hit["entry"]), pa.array(hit["slips"].astype(np.int32)), pa.array([kind] * len(hit))], ["query", "entry", "slips", "kind"])
+                cols = [("query", np.int64), ("q_seen", np.int8), ("entry", np.int64), ("e_seen", np.int8), ("slips", np.int32), ("kind", np.int8)]
+                yield pa.RecordBatch.from_arrays([pa.array((hit[c] if c in hit else np.full(len(hit), kind)).astype(k)) for c, k in cols], [c for c, _ in cols])
 
     for b in batches:
         df = b.to_pandas()
-        at = df["shard"].to_numpy().astype(np.int64) << 32 | df["part"].to_numpy()
+        at = df["cell"].to_numpy()
         change = np.flatnonzero(np.diff(at)) + 1
         for part in np.split(np.arange(len(df)), change) if len(df) else []:
             here, part = at[part[0]], df.iloc[part[0] : part[-1] + 1]
@@ -136,36 +145,56 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def matched_keys(train: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """(query, entry, slips, kind): keys of training and evaluation texts that match."""
+def matched_keys(train: DataFrame, evaluation: DataFrame, shard_texts: int = SHARD_TEXTS, slice_patterns: int = SLICE_PATTERNS) -> DataFrame:
+    """(query, q_seen, entry, e_seen, slips, kind): keys of training and evaluation texts that match."""
     texts, patterns = cut(_entries(evaluation, True)), _entries(train, False)
-    n_shards = max(1, -(-texts.count() // SHARD_TEXTS))
+    n_shards = max(1, -(-texts.count() // shard_texts))
     shard = lambda df: df.withColumn("shard", F.pmod("route", F.lit(n_shards)).cast("int"))
-    sizes = shard(texts).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-    # a shard that outgrew its bound, by a half that very many names share, is cut into parts
-    parts = F.ceil(F.col("n") / F.lit(2 * SHARD_TEXTS)).cast("int")
-    grown = F.broadcast(sizes.filter(F.col("n") > 2 * SHARD_TEXTS).select("shard", parts.alias("parts")))  # at most texts / (2 SHARD_TEXTS) rows
-    width = F.coalesce("parts", F.lit(1))
-    a = shard(texts).join(grown, "shard", "left").withColumn("part", F.pmod(F.xxhash64("text"), width).cast("int")).withColumn("side", F.lit(0))
-    b = shard(patterns).join(grown, "shard", "left").withColumn("part", F.explode(F.sequence(F.lit(0), width - 1))).withColumn("side", F.lit(1))
+    count = lambda df, name, most: shard(df).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name)).filter(F.col(name) > 1)
+    # shards that outgrew their bound on either side; at most texts / (2 shard_texts) and patterns / slice_patterns rows
+    grown = F.broadcast(cut(count(texts, "parts", 2 * shard_texts).join(count(patterns, "slices", slice_patterns), "shard", "full").select("shard", F.coalesce("parts", F.lit(1)).alias("parts"), F.coalesce("slices", F.lit(1)).alias("slices"))))
+
+    def side(df: DataFrame, k: int, mine: str, other: str) -> DataFrame:
+        """Rows in the cells of their shard: one of their own side's, all of the other's."""
+        df = shard(df).join(grown, "shard", "left")
+        at = F.pmod(F.xxhash64("text", F.lit(k)), F.coalesce(mine, F.lit(1))).cast("int")
+        df = df.withColumn("_mine", at).withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
+        part, piece = ("_mine", "_other") if k == 0 else ("_other", "_mine")
+        cell = F.xxhash64("shard", part, piece)
+        return df.select(cell.alias("cell"), F.lit(k).cast("byte").alias("side"), "kind", "route", "text", "tail", "key", "seen")
+
+    both = side(texts, 0, "parts", "slices").unionByName(side(patterns, 1, "slices", "parts"))
     # a task has about four shards at most, however many there are
-    cols = ["shard", "part", "side", "kind", "flag", "text", "tail", "key"]
-    both = a.select(cols).unionByName(b.select(cols)).repartition(max(shuffle_width(train.sparkSession), n_shards // 4), "shard", "part").sortWithinPartitions("shard", "part", "side")
-    return both.mapInArrow(_stream, "query long, entry long, slips int, kind string")
+    both = both.repartition(max(shuffle_width(train.sparkSession), n_shards // 4), "cell").sortWithinPartitions("cell", "side")
+    return both.mapInArrow(_stream, "query long, q_seen byte, entry long, e_seen byte, slips int, kind byte")
 
 
 def _keyed(split: DataFrame) -> DataFrame:
+    """(record_id, key): rows by number, and by name and whether the number is valid."""
     by_number = split.filter(F.col("number").isNotNull()).select("record_id", F.xxhash64(F.lit("n"), "number").alias("key"))
-    by_name = split.filter(F.col("name").isNotNull()).select("record_id", F.xxhash64(F.lit("w"), "name", F.col("number").isNotNull()).alias("key"))
+    by_name = split.filter(F.col("name").isNotNull()).select("record_id", F.xxhash64(F.xxhash64(F.lit("w"), "name"), F.col("number").isNotNull()).alias("key"))
     return by_number.unionByName(by_name)
 
 
+def _met(pairs: DataFrame) -> DataFrame:
+    """(query, entry, slips, kind) in the keys of ``_keyed``: each pair of names without or with valid numbers, but not both with."""
+    has = lambda c, bit: F.col(c).bitwiseAND(F.lit(bit).cast("byte")) > 0
+    flags = F.array(*[F.when(has("q_seen", 1 + q) & has("e_seen", 1 + e), F.struct(F.lit(bool(q)).alias("q"), F.lit(bool(e)).alias("e"))) for q, e in ((0, 0), (0, 1), (1, 0))])
+    named = pairs.filter("kind <> 0").withColumn("_f", F.explode(F.array_compact(flags)))
+    named = named.select(F.xxhash64("query", F.col("_f.q")).alias("query"), F.xxhash64("entry", F.col("_f.e")).alias("entry"), "slips", F.lit("w").alias("kind"))
+    return pairs.filter("kind = 0").select("query", "entry", "slips", F.lit("n").alias("kind")).unionByName(named)
+
+
 def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id, slips, kind): all overlapping pairs of ``substances``; kind n by number, w by name."""
-    pairs = cut(matched_keys(train, evaluation).groupBy("query", "entry").agg(F.min("slips").alias("slips"), F.max(F.when(F.col("kind") == "n", "n").otherwise("w")).alias("kind")))
-    left = _keyed(train).join(pairs.select(F.col("query").alias("key")).distinct(), "key", "left_semi")
-    wanted = pairs.groupBy("query").agg(F.collect_list(F.struct("entry", "slips", "kind")).alias("hits")).withColumnRenamed("query", "key")
-    sizes = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    met = spread_join(left, sizes.join(wanted, "key"), ["key"], "record_id").select(F.col("record_id").alias("train_id"), F.inline("hits"))
-    right = _keyed(evaluation).withColumnsRenamed({"key": "entry", "record_id": "eval_id"})
-    return met.join(right, "entry").groupBy("train_id", "eval_id").agg(F.min("slips").alias("slips"), F.min("kind").alias("kind"))
+    found = matched_keys(train, evaluation).groupBy("query", "entry").agg(F.min("slips").alias("slips"), F.max("q_seen").alias("q_seen"), F.max("e_seen").alias("e_seen"), F.min("kind").alias("kind"))
+    pairs = cut(_met(found))
+    left = _keyed(train)
+    sizes = left.groupBy(F.col("key").alias("query")).agg(F.count(F.lit(1)).alias("n"))
+    sized = cut(pairs.join(sizes, "query"))
+    met = spread_join(left, sized.withColumnRenamed("query", "key"), ["key"], "record_id").select(F.col("record_id").alias("train_id"), "entry", "slips", "kind")
+    # rows that come to an evaluation text, as many as its training rows
+    due = sized.groupBy("entry").agg(F.sum("n").alias("n"))
+    right = _keyed(evaluation).select(F.col("key").alias("entry"), F.col("record_id").alias("eval_id")).join(due, "entry")
+    both = spread_join(met, right, ["entry"], "train_id")
+    return both.groupBy("train_id", "eval_id").agg(F.min("slips").alias("slips"), F.min("kind").alias("kind"))

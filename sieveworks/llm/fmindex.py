@@ -21,7 +21,7 @@ import numpy as np
 
 MARK = 0
 #: Suffix intervals up to this width are read from the transform symbol by symbol.
-NARROW = 3
+NARROW = 4
 #: Places between two samples of the counts, and samples that one far count serves.
 BLOCK, FAR = 64, 512
 
@@ -57,11 +57,10 @@ class Index:
     def _suffixes(t: np.ndarray, sigma: int) -> np.ndarray:
         """Order of the cyclic suffixes, by keys of doubled width until all differ."""
         n = len(t)
-        width, rank = 1, t.astype(np.int64)
         bits = max(1, int(sigma).bit_length())
-        while width * 2 * bits <= 62:
-            rank = (rank << (width * bits)) | np.roll(rank, -width)
-            width *= 2
+        width, rank = max(1, min(n, 62 // bits)), np.zeros(n, np.int64)
+        for k in range(width):
+            rank = (rank << bits) | np.roll(t, -k)
         while True:
             _, rank = np.unique(rank, return_inverse=True)
             rank = rank.reshape(-1)
@@ -73,14 +72,16 @@ class Index:
 
     def _sample(self, bwt: np.ndarray, sigma: int) -> None:
         kind = np.uint8 if sigma <= 256 else np.uint16
-        self.per_word = 8 // kind().nbytes
-        self.bits = 64 // self.per_word
-        ones = sum(1 << (k * self.bits) for k in range(self.per_word))
+        self.bits = 8 * kind().nbytes
+        ones = sum(1 << k for k in range(0, 64, self.bits))
         self.ones, self.low = np.uint64(ones), np.uint64(ones * ((1 << (self.bits - 1)) - 1))
         blocks = self.n // BLOCK + 1
         self.bwt = np.zeros(blocks * BLOCK, kind)
         self.bwt[: self.n] = bwt
-        self.words = self.bwt.view(np.uint64)
+        self.rows = self.bwt.view(np.uint64).reshape(blocks, -1)
+        # of the places before each one of a block, the top bits of their symbols
+        self.masks = np.tril(np.ones((BLOCK, BLOCK), bool), -1).astype(kind)
+        self.masks = (self.masks * kind(1 << (self.bits - 1))).view(np.uint64)
         held = np.bincount(bwt * blocks + np.arange(self.n) // BLOCK, minlength=sigma * blocks).reshape(sigma, blocks)
         before = np.concatenate([np.zeros((sigma, 1), np.int64), np.cumsum(held, 1)[:, :-1]], 1)
         self.far = before[:, ::FAR].astype(np.int64)
@@ -88,26 +89,34 @@ class Index:
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often the symbol stands before the place."""
-        block, rest = at // BLOCK, at % BLOCK
-        out = self.far[symbol, block // FAR] + self.near[symbol, block]
-        same = symbol.astype(np.uint64) * self.ones
-        word = block * (BLOCK // self.per_word)
-        for k in range(BLOCK // self.per_word):
-            left = rest - k * self.per_word
-            live = np.flatnonzero(left > 0)
-            if not len(live):
-                break
-            x = self.words[word[live] + k] ^ same[live]
-            x = ~(((x & self.low) + self.low) | x | self.low)  # the top bit of each equal symbol
-            keep = np.minimum(left[live], self.per_word).astype(np.uint64) * np.uint64(self.bits)
-            x &= np.where(keep < 64, (np.uint64(1) << (keep & np.uint64(63))) - np.uint64(1), ~np.uint64(0))
-            out[live] += np.bitwise_count(x)
-        return out
+        block = at >> BLOCK.bit_length() - 1
+        x = self.rows[block] ^ (symbol.astype(np.uint64) * self.ones)[:, None]
+        x = ~(((x & self.low) + self.low) | x | self.low)  # the top bit of each equal symbol
+        x &= self.masks[at & BLOCK - 1]
+        return self.far[symbol, block // FAR] + self.near[symbol, block] + np.bitwise_count(x).sum(1, dtype=np.int64)
 
     def back(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The backward step from a place by a symbol."""
         return self.first[symbol] + self.rank(symbol, at)
 
+    def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals a symbol further to the left; narrow ones are read, and counted only where the symbol is there."""
+        width = hi - lo
+        slim = np.flatnonzero(width <= NARROW)
+        there = np.zeros(len(slim), np.int64)
+        for k in range(NARROW):
+            at = np.minimum(lo[slim] + k, self.n - 1)
+            there += (self.bwt[at] == symbol[slim]) & (k < width[slim])
+        a, b = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+        on = slim[there > 0]
+        a[on] = self.back(symbol[on], lo[on])
+        b[on] = a[on] + there[there > 0]
+        wide = np.flatnonzero(width > NARROW)
+        if len(wide):
+            ends = self.back(np.tile(symbol[wide], 2), np.concatenate([lo[wide], hi[wide]]))
+            a[wide], b[wide] = ends[: len(wide)], ends[len(wide) :]
+        return a, b
+
     def search(self, patterns: list[str], tails: np.ndarray, slips: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(pattern, text, slips, span) of all matches, each pair once with its least slips; span is the length of the match at the end.
 
@@ -129,7 +138,7 @@ class Index:
             done = i == 0
             if done.any():
                 mark = np.zeros(int(done.sum()), np.int64)
-                a, b = self.back(mark, lo[done]), self.back(mark, hi[done])
+                a, b = self.step(mark, lo[done], hi[done])
                 some = b > a
                 qq, ss, a, b = q[done][some], slip[done][some], a[some], b[some]
                 reps = b - a
@@ -145,7 +154,7 @@ class Index:
             c = flat[starts[q] + i - 1]
             known = c >= 0
             q, i, slip, lo, hi, c = q[known], i[known], slip[known], lo[known], hi[known], c[known]
-            parts.append((q, i - 1, slip, self.back(c, lo), self.back(c, hi)))
+            parts.append((q, i - 1, slip, *self.step(c, lo, hi)))
             q, i, slip, lo, hi = (np.concatenate(x) for x in zip(*parts))
             alive = hi > lo
             q, i, slip, lo, hi = q[alive], i[alive], slip[alive], lo[alive], hi[alive]
@@ -171,8 +180,10 @@ class Index:
         # two neighbours swapped
         before = np.where(i > 1, flat[starts[q] + np.maximum(i, 2) - 2], MARK)
         swap = letter & (i > 1) & self._alpha(before) & (before != prev) & (before >= 0) & (prev >= 0)
-        a, b = self.back(before[swap], lo[swap]), self.back(before[swap], hi[swap])
-        out.append((q[swap], i[swap] - 2, i[swap], self.back(prev[swap], a), self.back(prev[swap], b)))
+        a, b = self.step(before[swap], lo[swap], hi[swap])
+        on = b > a
+        swap = np.flatnonzero(swap)[on]
+        out.append((q[swap], i[swap] - 2, i[swap], *self.step(prev[swap], a[on], b[on])))
         # another letter in the text, instead of the pattern's or added
         src, sym = [], []
         width = hi - lo
@@ -187,7 +198,7 @@ class Index:
         src.append(np.repeat(at, len(self.letters)))
         sym.append(np.tile(self.letters, len(at)))
         src, sym = np.concatenate(src), np.concatenate(sym)
-        a, b = self.back(sym, lo[src]), self.back(sym, hi[src])
+        a, b = self.step(sym, lo[src], hi[src])
         some = b > a
         src, sym, a, b = src[some], sym[some], a[some], b[some]
         out.append((q[src], i[src], i[src], a, b))

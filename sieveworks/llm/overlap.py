@@ -10,10 +10,13 @@ slip.
 
 Word order doesn't count, and a slip touches one word. So a name is taken in as
 many forms as it has words, each with one word in front of the sorted others:
-the others agree, and so does the first or the last half of the word. Shards
-are routed by this agreeing part and the word's digits, so a name visits as
-many shards as it has forms, whatever their number. Others that are long stand
-for themselves by their hash, so the forms of a name grow as its words do.
+the others agree. Shards are routed by the others; where many names share them
+(a common word, or none), also by the first or the last half of the word and
+its digits, of which one slip can't touch both halves. So a name visits about
+as many shards as it has words, whatever their number. Others that are long
+stand for themselves by their hash, so the forms of a name grow as its words
+do. A word of one letter may be all that is lost: such a name is also taken
+without it, with its slip used up.
 
 Routes are counted on both sides. A shard that many evaluation names share is
 cut into parts, which its patterns all visit; one that many training names
@@ -43,6 +46,8 @@ from .fmindex import Index
 SHARD_TEXTS = 12_000
 #: Patterns of one shard that one task searches, and patterns searched at once.
 SLICE_PATTERNS, SEARCHED = 300_000, 50_000
+#: Evaluation names that may share the words beside one without being told apart by that word's halves.
+SHARED = 64
 #: Characters of the other words that are kept as they stand.
 OTHERS = 64
 
@@ -54,39 +59,51 @@ def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFra
 
 
 def _half(length: Column) -> Column:
-    """The part of a word that a slip in its other half can't touch, by the length of the training side's word."""
-    return F.greatest(F.floor((length - 1) / 2), F.lit(0)).cast("int")
+    """The length of a word's end that a slip in its other half can't touch, by the length of the training side's word.
 
+    In steps of four, so that words whose lengths differ by one mostly agree.
+    """
+    return (F.floor(F.greatest(length - 1, F.lit(0)) / 8) * 4).cast("int")
+
+
+def _forms(split: DataFrame) -> DataFrame:
+    """(key, seen, used, word, others): each word of a distinct name in front of the rest.
 
-def _forms(named: DataFrame) -> DataFrame:
-    """named with ``word`` and ``others``: each word of a name in front of the rest, and an empty word in front of all."""
+    seen: bit 1 if the name stands without a valid number, bit 2 with one;
+    used: whether a word of one letter was left out.
+    """
+    named = split.filter(F.col("name").isNotNull()).groupBy("name").agg(F.bit_or(F.when(F.col("number").isNull(), 1).otherwise(2)).cast("byte").alias("seen"))
     words = F.split("name", " ")
-    n = F.size(words)
-    others = F.array_join(F.concat(F.slice(words, F.lit(1), F.col("_i")), F.slice(words, F.col("_i") + 2, n)), " ")
-    one = named.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
-    one = one.select("key", "seen", F.coalesce(F.get(words, F.col("_i")), F.lit("")).alias("word"), others.alias("others"))
+    without = lambda ws, i: F.concat(F.slice(ws, F.lit(1), i), F.slice(ws, i + 2, F.size(ws)))
+    shorter = F.filter(F.transform(words, lambda w, i: F.when((F.length(w) == 1) & w.rlike(r"\p{L}") & (F.size(words) > 1), without(words, i))), lambda x: x.isNotNull())
+    ways = named.select(F.xxhash64(F.lit("w"), "name").alias("key"), "seen", F.posexplode(F.concat(F.array(words), shorter)).alias("_k", "_ws"))
+    one = ways.select("key", "seen", F.least("_k", F.lit(1)).cast("byte").alias("used"), "_ws", F.posexplode("_ws").alias("_i", "word"))
+    one = one.select("key", "seen", "used", "word", F.array_join(without(F.col("_ws"), F.col("_i")), " ").alias("others"))
     return one.withColumn("others", F.when(F.length("others") > OTHERS, F.hex(F.xxhash64("others"))).otherwise(F.col("others")))
 
 
-def _entries(split: DataFrame, indexed: bool) -> DataFrame:
-    """(route, kind, text, tail, key, seen): one row per form of a distinct text and shard it belongs to or visits.
+def _entries(split: DataFrame, forms: DataFrame, shared: DataFrame, indexed: bool) -> DataFrame:
+    """(route, kind, text, tail, key, seen, used): one row per form of a distinct text and shard it belongs to or visits.
 
-    kind 0: numbers, exact; 1: slips on the left of a word; 2: the word
-    reversed, slips on its right. seen: bit 1 if the name stands without a
-    valid number, bit 2 with one.
+    kind 0: numbers, exact; 1: slips anywhere in a word; 2: slips on its left;
+    3: the word reversed, slips on its right. shared: the others that many
+    names have.
     """
+    byte = lambda n: F.lit(n).cast("byte")
     number = split.filter(F.col("number").isNotNull()).select("number").distinct().select(
-        F.xxhash64(F.lit("n"), "number").alias("route"), F.lit(0).cast("byte").alias("kind"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key"), F.lit(3).cast("byte").alias("seen")
+        F.xxhash64(F.lit("n"), "number").alias("route"), byte(0).alias("kind"), F.col("number").alias("text"), F.length("number").alias("tail"), F.xxhash64(F.lit("n"), "number").alias("key"), byte(3).alias("seen"), byte(0).alias("used")
     )
-    named = split.filter(F.col("name").isNotNull()).groupBy("name").agg(F.bit_or(F.when(F.col("number").isNull(), 1).otherwise(2)).cast("byte").alias("seen"))
-    form = _forms(named.withColumn("key", F.xxhash64(F.lit("w"), "name")))
+    form = forms.join(F.broadcast(shared.withColumn("_hot", F.lit(True))), "others", "left")
     size = F.length("word")
     tails = [size, size - 1, size + 1] if indexed else [size]  # a slip changes the length by one at most
-    kinds = F.when(size > 0, F.array(*[F.lit(k).cast("byte") for k in (1, 2)])).otherwise(F.array(F.lit(1).cast("byte")))
-    form = form.withColumn("kind", F.explode(kinds)).withColumn("half", F.explode(F.array_distinct(F.array(*[F.least(_half(t), size) for t in tails]))))
-    form = form.withColumn("word", F.when(F.col("kind") == 2, F.reverse("word")).otherwise(F.col("word")))
-    route = F.xxhash64("kind", "half", F.right("word", F.col("half")), "others", names.digits(F.col("word")))
-    return number.unionByName(form.select(route.alias("route"), "kind", F.concat_ws(" ", "word", "others").alias("text"), (F.col("half") + F.length("others") + 1).alias("tail"), "key", "seen"))
+    halves = F.array_distinct(F.array(*[F.least(_half(t), size) for t in tails]))
+    way = lambda k: lambda h: F.struct(byte(k).alias("kind"), h.alias("half"))
+    ways = F.concat(*[F.transform(halves, way(k)) for k in (2, 3)])
+    form = form.withColumn("_w", F.explode(F.when(F.col("_hot"), ways).otherwise(F.array(F.struct(byte(1).alias("kind"), F.lit(0).alias("half"))))))
+    form = form.select("key", "seen", "used", "others", "_w.kind", "_w.half", F.when(F.col("_w.kind") == 3, F.reverse("word")).otherwise(F.col("word")).alias("word"))
+    hot = F.when(F.col("kind") > 1, F.xxhash64("half", F.right("word", F.col("half")), names.digits(F.col("word"))))
+    route = F.xxhash64("kind", "others", F.coalesce(hot, F.lit(0)))
+    return number.unionByName(form.select(route.alias("route"), "kind", F.concat_ws(" ", "word", "others").alias("text"), (F.col("half") + F.length("others") + 1).alias("tail"), "key", "seen", "used"))
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,22 +123,23 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     index[kind] = None
                 else:
                     # one text may stand for several keys and routes
-                    text, which = np.unique(mine["text"].to_numpy(object), return_inverse=True)
-                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which.reshape(-1), "entry": mine["key"].to_numpy(), "route": mine["route"].to_numpy(), "e_seen": mine["seen"].to_numpy()}))
+                    which, text = pd.factorize(mine["text"].to_numpy(object))
+                    index[kind] = (Index(text.tolist()), pd.DataFrame({"t": which, "e_used": mine["used"].to_numpy(), "entry": mine["key"].to_numpy(), "route": mine["route"].to_numpy(), "e_seen": mine["seen"].to_numpy()}))
             if index[kind] is None:
                 continue
             idx, keys = index[kind]
             # several names may have the same form
-            text, which = np.unique(part["text"].to_numpy(object), return_inverse=True)
-            forms = pd.DataFrame({"p": which.reshape(-1), "tail": part["tail"].to_numpy()}).drop_duplicates()
+            which, text = pd.factorize(part["text"].to_numpy(object))
+            forms = pd.DataFrame({"p": which, "tail": part["tail"].to_numpy()}).drop_duplicates()
             p, t, e, span = idx.search(text[forms["p"].to_numpy()].tolist(), forms["tail"].to_numpy(), kind != 0)
             if not len(p):
                 continue
             hit = pd.DataFrame({"p": forms["p"].to_numpy()[p], "tail": forms["tail"].to_numpy()[p], "t": t, "slips": e, "span": span})
-            asked = pd.DataFrame({"p": which.reshape(-1), "tail": part["tail"].to_numpy(), "route": part["route"].to_numpy(), "query": part["key"].to_numpy(), "q_seen": part["seen"].to_numpy()})
+            asked = pd.DataFrame({"p": which, "q_used": part["used"].to_numpy(), "tail": part["tail"].to_numpy(), "route": part["route"].to_numpy(), "query": part["key"].to_numpy(), "q_seen": part["seen"].to_numpy()})
             hit = hit.merge(asked, on=["p", "tail"]).merge(keys, on=["t", "route"])
             # names that both stand with valid numbers only don't meet
-            hit = hit[(hit["q_seen"] != 2) | (hit["e_seen"] != 2)].sort_values(["slips", "span"], ascending=[True, False]).drop_duplicates(["query", "entry"])
+            hit["slips"] += hit["q_used"] + hit["e_used"]
+            hit = hit[(hit["slips"] < 2) & ((hit["q_seen"] != 2) | (hit["e_seen"] != 2))].sort_values(["slips", "span"], ascending=[True, False]).drop_duplicates(["query", "entry"])
             if len(hit):
                 cols = [("query", np.int64), ("q_seen", np.int8), ("entry", np.int64), ("e_seen", np.int8), ("slips", np.int32), ("kind", np.int8)]
                 yield pa.RecordBatch.from_arrays([pa.array((hit[c] if c in hit else np.full(len(hit), kind)).astype(k)) for c, k in cols], [c for c, _ in cols])
@@ -147,7 +165,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def matched_keys(train: DataFrame, evaluation: DataFrame, shard_texts: int = SHARD_TEXTS, slice_patterns: int = SLICE_PATTERNS) -> DataFrame:
     """(query, q_seen, entry, e_seen, slips, kind): keys of training and evaluation texts that match."""
-    texts, patterns = cut(_entries(evaluation, True)), _entries(train, False)
+    forms = cut(_forms(evaluation))
+    shared = cut(forms.groupBy("others").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > SHARED).select("others"))  # at most forms / SHARED rows
+    texts, patterns = cut(_entries(evaluation, forms, shared, True)), _entries(train, _forms(train), shared, False)
     n_shards = max(1, -(-texts.count() // shard_texts))
     shard = lambda df: df.withColumn("shard", F.pmod("route", F.lit(n_shards)).cast("int"))
     count = lambda df, name, most: shard(df).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias(name)).filter(F.col(name) > 1)
@@ -161,7 +181,7 @@ def matched_keys(train: DataFrame, evaluation: DataFrame, shard_texts: int = SHA
         df = df.withColumn("_mine", at).withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)))
         part, piece = ("_mine", "_other") if k == 0 else ("_other", "_mine")
         cell = F.xxhash64("shard", part, piece)
-        return df.select(cell.alias("cell"), F.lit(k).cast("byte").alias("side"), "kind", "route", "text", "tail", "key", "seen")
+        return df.select(cell.alias("cell"), F.lit(k).cast("byte").alias("side"), "kind", "route", "text", "tail", "key", "seen", "used")
 
     both = side(texts, 0, "parts", "slices").unionByName(side(patterns, 1, "slices", "parts"))
     # a task has about four shards at most, however many there are
@@ -188,7 +208,7 @@ def _met(pairs: DataFrame) -> DataFrame:
 def overlaps(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     """(train_id, eval_id, slips, kind): all overlapping pairs of ``substances``; kind n by number, w by name."""
     found = matched_keys(train, evaluation).groupBy("query", "entry").agg(F.min("slips").alias("slips"), F.max("q_seen").alias("q_seen"), F.max("e_seen").alias("e_seen"), F.min("kind").alias("kind"))
-    pairs = cut(_met(found))
+    pairs = _met(cut(found))
     left = _keyed(train)
     sizes = left.groupBy(F.col("key").alias("query")).agg(F.count(F.lit(1)).alias("n"))
     sized = cut(pairs.join(sizes, "query"))

@@ -10,17 +10,11 @@ from pyspark.sql import functions as F
 
 #: Patterns of the domain's texts.
 NUMBER_PATTERN = r"(?<!\d)(\d{2,7}-\d{2}-\d)(?!\d)"
-BROAD_SALT = r"(와|과|및)\s*그\s*염류|(?i:\band\s+(all\s+)?(its|their)\s+salts\b)|(?i:\bund\s+seine\s+salze\b)"
-MIXTURE = r"혼합물|반응생성물|공중합체|(?i:\bmixture\b|reaction product|\bcopolymer\b)"
-GENERIC_GROUP = r"화합물|유도체|(?i:\bcompounds?\b|\bderivatives?\b)"
-SALT_FAMILY = r"염류|(?i:\bsalts\b)"
-RANGE = r"(?i:C\s*=\s*\d+\s*[~-]\s*\d+)|탄소수\s*\d+\s*[~-]\s*\d+"
-EXCLUSION = r"(?i:excluding|except(ion)?|with\s+the\s+exception)|다만|제외"
-PERCENT = r"(\d+(?:\.\d+)?)\s*(?:%|퍼센트)"
-QUANTITY = r"(?i)(\d+(?:\.\d+)?)\s*(kg|tons|ton|t)\b"
+PERCENT_CONDITION = r"(이상|초과|이하|미만|>=|>|<=|<)?\s*(\d+(?:\.\d+)?)\s*(?:%|퍼센트)"
+QUANTITY_CONDITION = r"(?iU)(\d+(?:\.\d+)?)\s*(kg|킬로그램|ton|tons|톤|t)\b"
 
 #: Words for a missing value and for true, by dialect.
-NULL_WORDS = {"plain": ("nan", "none", "null"), "wide": ("nan", "none", "null", "<na>")}
+NULL_WORDS = {"bare": (), "plain": ("nan", "none", "null"), "wide": ("nan", "none", "null", "<na>")}
 TRUE_WORDS = {
     "approval": ("1", "true", "yes", "y", "validated", "approved", "예"),
     "short": ("1", "true", "yes", "y", "예", "o"),
@@ -73,7 +67,18 @@ def threshold(c: Column) -> Column:
 
 
 def percents(c: Column) -> Column:
-    return F.transform(F.regexp_extract_all(c, F.lit(PERCENT), F.lit(1)), lambda x: x.try_cast("double"))
+    """Percent conditions of a text in order."""
+    return F.transform(F.regexp_extract_all(c, F.lit(PERCENT_CONDITION), F.lit(2)), lambda x: x.try_cast("double"))
+
+
+def percent_operators(c: Column) -> Column:
+    """What stands before each of the ``percents``, '' for none."""
+    return F.regexp_extract_all(c, F.lit(PERCENT_CONDITION), F.lit(1))
+
+
+def quantity(c: Column) -> tuple[Column, Column]:
+    """(number, unit) of the first quantity of a text; null and '' for none."""
+    return F.regexp_extract(c, QUANTITY_CONDITION, 1).try_cast("double"), F.lower(F.regexp_extract(c, QUANTITY_CONDITION, 2))
 
 
 def first_class(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
@@ -81,21 +86,6 @@ def first_class(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
     return F.coalesce(*[F.when(cond, label) for cond, label in cases], F.lit(otherwise))
 
 
-def scope_class(c: Column) -> Column:
-    """Ordered classes of what a rule's text covers."""
-    return first_class(
-        [
-            (c.rlike(EXCLUSION), "EXCLUSION"),
-            (c.rlike(BROAD_SALT), "BROAD_SALT"),
-            (c.rlike(MIXTURE), "MIXTURE"),
-            (c.rlike(RANGE), "STRUCTURAL_RANGE"),
-            (c.rlike(GENERIC_GROUP), "GENERIC_GROUP"),
-            (c.rlike(SALT_FAMILY), "SALT_FAMILY"),
-        ],
-        "OTHER",
-    )
-
-
 def joined_labels(flags: Mapping[str, Column], sep: str = ";") -> Column:
     """Labels whose condition holds, in order."""
     return F.array_join(F.array_compact(F.array(*[F.when(cond, F.lit(label)) for label, cond in flags.items()])), sep)
@@ -108,10 +98,3 @@ def stable_id(prefix: str, parts: Sequence[Column], size: int = 16) -> Column:
 
 def route_rank(c: Column, ranks: Mapping[str, int], default: int = 9) -> Column:
     return reduce(lambda w, kv: w.when(c == kv[0], kv[1]), list(ranks.items())[1:], F.when(c == next(iter(ranks)), next(iter(ranks.values())))).otherwise(default)
-
-
-def first_object(c: Column) -> Column:
-    """The first JSON object in a noisy text: from the first brace to the last, without thinking blocks and fences; null if it isn't one."""
-    body = F.regexp_replace(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""), r"```(?:json)?", "")
-    inner = F.regexp_extract(body, r"(?s)(\{.*\})", 1)
-    return F.when(F.try_parse_json(inner).isNotNull(), inner)

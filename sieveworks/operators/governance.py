@@ -69,9 +69,10 @@ def upgraded(base: Column, offer: Column, ranks: Mapping[str, int], keep: str) -
 
 
 def frozen(df: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
-    """(artifact, n_rows, digest): a sum of row hashes, whatever the order of rows."""
-    row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")).alias("digest")).select(F.lit(name).alias("artifact"), "n_rows", "digest")
+    """(artifact, n_rows, digest): two 56-bit sums of row hashes, whatever the order of rows."""
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    part = lambda at: F.sum(F.conv(F.substring(row, at, 14), 16, 10).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", F.coalesce(part(1), F.lit("0")), F.coalesce(part(15), F.lit("0"))).alias("digest")).select(F.lit(name).alias("artifact"), "n_rows", "digest")
 
 
 def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -80,3 +81,78 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     per = tag(a, 1).unionByName(tag(b, 2)).groupBy(key).agg(F.sum("_s").alias("_in"))
     out = per.agg(F.count_if(F.col("_in") != 2).alias("n_a"), F.count_if(F.col("_in") != 1).alias("n_b"), F.count_if(F.col("_in") == 3).alias("n_both"))
     return out.withColumn("equal", (F.col("n_a") == F.col("n_both")) & (F.col("n_b") == F.col("n_both")))
+
+
+def verified(actual: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(artifact, state): each artifact of either side, SAME, CHANGED, MISSING or UNLISTED.
+
+    Both sides are (artifact, n_rows, digest) as made by ``frozen``.
+    """
+    a, m = actual.select("artifact", F.struct("n_rows", "digest").alias("_a")), manifest.select("artifact", F.struct("n_rows", "digest").alias("_m"))
+    state = F.when(F.col("_m").isNull(), "UNLISTED").when(F.col("_a").isNull(), "MISSING").when(F.col("_a") == F.col("_m"), "SAME").otherwise("CHANGED")
+    return a.join(m, "artifact", "full").select("artifact", state.alias("state"))
+
+
+def verify(actual: DataFrame, manifest: DataFrame) -> DataFrame:
+    """actual itself, or an error naming the artifacts that aren't as frozen."""
+    bad = [f"{r['artifact']}: {r['state']}" for r in verified(actual, manifest).filter("state <> 'SAME'").orderBy("artifact").limit(20).collect()]
+    if bad:
+        raise ValueError(f"not as frozen: {', '.join(bad)}")
+    return actual
+
+
+def challenge_sample(df: DataFrame, challenge: Column, stratum: str, ident: str, seed: str, n: int) -> DataFrame:
+    """(ident, stratum, reason): n rows, challenges first.
+
+    If there are no more than n rows all are taken. If there are at least n
+    challenges, each stratum of them gives an equal quota and the rest is
+    filled from all of them; else all challenges are taken and filled up from
+    the others. Within each the smallest seeded hashes come first. A hash prefix
+    found by counts bounds what is sorted to about n rows.
+    """
+    from .windows import smallest
+
+    h = F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256)
+    rows = df.select(ident, stratum, F.coalesce(challenge, F.lit(False)).alias("_c"), h.alias("_x"))
+    sizes = {r["_c"]: r["n"] for r in rows.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hard, total = sizes.get(True, 0), sum(sizes.values())
+    out = lambda d, reason: d.select(ident, stratum, reason.alias("reason"))
+    if total <= n:
+        return out(rows, F.lit("ALL"))
+    mine = rows.filter("_c")
+    if n >= hard:
+        return out(mine, F.lit("CHALLENGE")).unionByName(out(smallest(rows.filter("not _c"), "_x", ident, n - hard), F.lit("CONTROL")))
+    strata = mine.select(stratum).distinct().count()
+    quota = max(1, n // strata)
+    from pyspark.sql import Window
+
+    ranked = mine.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_x", ident))).filter(F.col("_r") <= quota).drop("_r")
+    first = smallest(ranked, "_x", ident, n)
+    rest = smallest(mine.join(first.select(ident), ident, "left_anti"), "_x", ident, n - min(n, ranked.count()))
+    return out(first, F.concat(F.lit("STRATUM_"), F.col(stratum).cast("string"))).unionByName(out(rest, F.lit("FILL")))
+
+
+def paired_quota(df: DataFrame, by: str, positive: Column, order: Sequence[Column], cap: int, total: int) -> DataFrame:
+    """df's rows with ``place``: of each key as many positives as negatives, at most cap of both, while all keys' pairs fit in total.
+
+    Keys are served in their order; what earlier ones take is a sum over one
+    row a key.
+    """
+    from pyspark.sql import Window
+
+    side = F.coalesce(positive, F.lit(False))
+    ranked = df.withColumn("_p", side).withColumn("place", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order))).filter(F.col("place") <= cap // 2)
+    pairs = ranked.groupBy(by).agg(F.least(F.count_if("_p"), F.count_if(~F.col("_p"))).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a key
+    room = pairs.withColumn("_n", F.greatest(F.lit(0), F.least(F.col("_n"), F.lit(total // 2) - before)))
+    return ranked.join(room, by).filter(F.col("place") <= F.col("_n")).drop("_p", "_n")
+
+
+def replaced(table: DataFrame, candidate: DataFrame, version: str, keys: Sequence[str], approved: bool) -> DataFrame:
+    """table with the candidate's versions in place of its own, later rows of a key instead of earlier; table itself without approval."""
+    if not approved:
+        return table
+    old = table.join(candidate.select(version).distinct(), version, "left_anti").withColumn("_new", F.lit(0))
+    both = old.unionByName(candidate.withColumn("_new", F.lit(1)))
+    rest = [c for c in table.columns if c not in keys]
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_new").alias("_s")).select(*keys, "_s.*").select(*table.columns)

@@ -83,31 +83,36 @@ def top_distinct(df: DataFrame, by: str, distinct: str, order: Sequence[Column],
     return df.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("place", top).filter(F.col("place") <= n)
 
 
-def balanced(df: DataFrame, label: Column, ident: str, seed: str, ratio: float = 1.0) -> DataFrame:
-    """All positives and at most ratio times as many negatives, those with the smallest seeded hashes.
+def smallest(df: DataFrame, hashed: str, ident: str, n: int) -> DataFrame:
+    """The n rows with the smallest hashes, ties by id; ``hashed`` is a column of hexadecimal digits.
 
-    The last hash is found in steps of 12 bits by counts of at most 4096 rows
-    each; no task sorts or keeps all negatives.
+    The last one is found in steps of 12 bits by counts of at most 4096 rows
+    each; no task sorts or keeps more than what shares the last prefix.
     """
-    hashed = df.withColumn("_x", F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256)).withColumn("_h", F.conv(F.substring("_x", 1, 15), 16, 10).cast("long"))
-    neg = ~F.coalesce(label, F.lit(False))
-    n = int(round(df.filter(label).count() * ratio))
-    # whole hashes below this prefix are taken, and what is left of n comes from the prefix itself
-    prefix, bits, left = 0, 0, n
+    rows = df.withColumn("_h", F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long"))
+    # all hashes below this prefix are taken, and what is left of n comes from the prefix itself
+    prefix, bits, left, m = 0, 0, n, 0
     first = lambda b: F.shiftright("_h", 60 - b)
-    while bits < 60:
-        within = hashed.filter(neg & (first(bits) == prefix)) if bits else hashed.filter(neg)
+    while n > 0 and bits < 60:
+        within = rows.filter(first(bits) == prefix) if bits else rows
         counts = sorted((r["_p"], r["n"]) for r in within.groupBy(first(bits + 12).alias("_p")).agg(F.count(F.lit(1)).alias("n")).collect())
-        for p, m in counts:
+        for prefix, m in counts:
             if left <= m:
-                prefix = p
                 break
             left -= m
         else:
-            return df  # no more negatives than wanted
+            return df  # no more rows than wanted
         bits += 12
         if m <= 1000:
             break
-    below = hashed.filter(label | (neg & (first(bits) < prefix)))
-    last = hashed.filter(neg & (first(bits) == prefix)).orderBy("_x", ident).limit(left)  # of at most a thousand rows
-    return below.unionByName(last).drop("_x", "_h")
+    if n <= 0:
+        return df.limit(0)
+    last = rows.filter(first(bits) == prefix).orderBy(hashed, ident).limit(left)  # of at most a thousand rows
+    return rows.filter(first(bits) < prefix).unionByName(last).drop("_h")
+
+
+def balanced(df: DataFrame, label: Column, ident: str, seed: str, ratio: float = 1.0) -> DataFrame:
+    """All positives and at most ratio times as many negatives, those with the smallest seeded hashes."""
+    pos, neg = df.filter(label), df.filter(~F.coalesce(label, F.lit(False)))
+    hashed = neg.withColumn("_x", F.sha2(F.concat(F.lit(seed), F.col(ident).cast("string")), 256))
+    return pos.unionByName(smallest(hashed, "_x", ident, int(round(pos.count() * ratio))).drop("_x"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import data_quality, evaluation, governance, ingestion, screening
+from . import data_quality, decisions, evaluation, governance, ingestion, screening
 
 FLAGSHIP = "screen_threshold_status"
-MODULES = [data_quality, screening, evaluation, governance, ingestion]
+MODULES = [data_quality, screening, evaluation, governance, ingestion, decisions]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

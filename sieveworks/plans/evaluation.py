@@ -175,14 +175,6 @@ def relational_division(spark: SparkSession, d: str) -> DataFrame:
     return votes.in_every(table(spark, d, "events"), "user_id", "event_type")
 
 
-@query("""
-with p as (select user_id % 10 as grp, user_id, count(event_type) as n, count(distinct event_type) as k from (select user_id, event_type, event_id % 3 as r from events where event_id % 3 < 3) group by 1, 2 having count(event_type) = 10)
-select grp, count(*) as n_complete, count(*) filter (k = 1) as n_agree, round(count(*) filter (k = 1) / count(*), 6) as agreement from p group by 1""")
-def repeat_consistency(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").withColumn("grp", F.col("user_id") % 10)
-    return votes.consistency(e, "grp", "user_id", "event_type", 10)
-
-
 @query("""
 with r as (select o_custkey, o_orderpriority as p, case left(o_orderpriority, 1) when '1' then 5 when '2' then 4 when '3' then 3 when '4' then 2 else 1 end as k from orders)
 select o_custkey, max(p order by k, p) as worst, kinds from (select o_custkey, last(p order by k, p) as p, 0 as k, array_to_string(list_sort(list(distinct p)), ';') as kinds from r group by 1) group by o_custkey, kinds""")
@@ -283,18 +275,6 @@ def quality_checks(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SCOPE = """case when regexp_matches(t, '(?i:excluding|except(ion)?|with\\s+the\\s+exception)|다만|제외') then 'EXCLUSION' when regexp_matches(t, '(와|과|및)\\s*그\\s*염류|(?i:\\band\\s+(all\\s+)?(its|their)\\s+salts\\b)|(?i:\\bund\\s+seine\\s+salze\\b)') then 'BROAD_SALT'
-when regexp_matches(t, '혼합물|반응생성물|공중합체|(?i:\\bmixture\\b|reaction product|\\bcopolymer\\b)') then 'MIXTURE' when regexp_matches(t, '(?i:C\\s*=\\s*\\d+\\s*[~-]\\s*\\d+)|탄소수\\s*\\d+\\s*[~-]\\s*\\d+') then 'STRUCTURAL_RANGE'
-when regexp_matches(t, '화합물|유도체|(?i:\\bcompounds?\\b|\\bderivatives?\\b)') then 'GENERIC_GROUP' when regexp_matches(t, '염류|(?i:\\bsalts\\b)') then 'SALT_FAMILY' else 'OTHER' end""".replace("\\\\", "\\")
-
-
-@query(f"""with d as (select doc_id, coalesce(text, '') as t from documents) select doc_id, {_SCOPE} as scope, coalesce(regexp_extract(t, '(혼합물|mixture|salts|염류)', 1), '') as evidence from d""")
-def scope_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Ordered classes of what a text covers, with the words that show it."""
-    t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select("doc_id", C.scope_class(t).alias("scope"), F.regexp_extract(t, "(혼합물|mixture|salts|염류)", 1).alias("evidence"))
-
-
 @query("""
 with x as (select doc_id, unnest(list_distinct(regexp_extract_all(text, '(?:^|[^0-9])(\\d{2,7}-\\d{2}-\\d)(?:[^0-9]|$)', 1))) as number from documents where text is not null),
 g as (select doc_id, number, replace(number, '-', '') as dg from x), s as (select *, reverse(substr(dg, 1, length(dg) - 1)) as b from g)

@@ -79,7 +79,7 @@ def route_upgrade(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with x as (select 'orders' as artifact, coalesce(cast(o_orderkey as varchar), '~') || '|' || coalesce(o_orderstatus, '~') as s from orders union all select 'group_rules', coalesce(rule_id, '~') || '|' || coalesce(scope_text, '~') from group_rules)
-select artifact, count(*) as n_rows, cast(sum(cast('0x' || substr(md5(s), 1, 8) as bigint)) as bigint) as digest from x group by 1""")
+select artifact, count(*) as n_rows, cast(sum(cast(cast('0x' || substr(sha256(s), 1, 14) as bigint) as hugeint)) as varchar) || ':' || cast(sum(cast(cast('0x' || substr(sha256(s), 15, 14) as bigint) as hugeint)) as varchar) as digest from x group by 1""")
 def freeze_tables(spark: SparkSession, d: str) -> DataFrame:
     """Content digests of named tables."""
     return G.frozen(table(spark, d, "orders"), "orders", ["o_orderkey", "o_orderstatus"]).unionByName(G.frozen(table(spark, d, "group_rules"), "group_rules", ["rule_id", "scope_text"]))
@@ -119,14 +119,17 @@ def element_presence(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy(has("Na").alias("has_sodium"), has("Cl").alias("has_chlorine"), F.col("smiles").contains(".").alias("multicomponent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""
-with q as (select doc_id, regexp_extract(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(kg|tons|ton|t)\\b', 1) as v, lower(regexp_extract(text, '(?i)(\\d+(?:\\.\\d+)?)\\s*(kg|tons|ton|t)\\b', 2)) as unit from documents where text is not null)
-select unit, count(*) as n, cast(round(sum(try_cast(v as double)), 3) as double) as total from q group by 1""".replace("\\\\", "\\"))
+_Q = r"(?i)(\d+(?:\.\d+)?)[\s\p{Z}]*(kg|킬로그램|ton|tons|톤|t)(?:[^\p{L}\p{N}_]|$)"
+
+
+@query(f"""
+with q as (select regexp_extract(payload, '{_Q}', 1) as v, lower(regexp_extract(payload, '{_Q}', 2)) as unit from rule_file_records where payload is not null)
+select unit, count(*) as n, cast(round(sum(try_cast(v as double)), 3) as double) as total from q group by 1""")
 def quantity_conditions(spark: SparkSession, d: str) -> DataFrame:
-    """First quantity with a unit of each text."""
-    t = table(spark, d, "documents").filter("text is not null")
-    q = t.select(F.regexp_extract("text", C.QUANTITY, 1).alias("v"), F.lower(F.regexp_extract("text", C.QUANTITY, 2)).alias("unit"))
-    return q.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("v").try_cast("double")), 3).alias("total"))
+    """First quantity with a unit of each rule record."""
+    value, unit = C.quantity(F.col("payload"))
+    q = table(spark, d, "rule_file_records").filter("payload is not null").select(value.alias("v"), unit.alias("unit"))
+    return q.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 3).alias("total"))
 
 
 @query("""

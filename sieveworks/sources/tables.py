@@ -157,4 +157,77 @@ def split_columns(df: DataFrame, shown: Sequence[str], held: Sequence[str], key:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    """Delimited files in UTF-8, each with a byte order mark and a header."""
+    first, *rest = df.columns
+    df.toDF("\ufeff" + first, *rest).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def read_any(spark: SparkSession, path: str) -> DataFrame:
+    """A table by its suffix: parquet, JSON lines, delimited text, or the cells of workbooks and zipped documents."""
+    from . import grids
+
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind == "parquet":
+        return spark.read.parquet(path)
+    if kind in ("json", "jsonl"):
+        return spark.read.json(path)
+    if kind in ("csv", "txt", "tsv"):
+        return read_text_table(spark, path)
+    if kind in ("xlsx", "xlsm", "hwpx", "docx"):
+        return grids.read_grid(spark, path)
+    raise ValueError(f"no reader for {path}")
+
+
+def first_input(spark: SparkSession, candidates: Sequence[str], schema: T.StructType) -> tuple[DataFrame, str]:
+    """``optional_table`` of the first candidate that is there."""
+    for path in candidates:
+        df, status = optional_table(spark, path, schema)
+        if status == "LOADED":
+            return df, status
+    return optional_table(spark, None, schema)
+
+
+def read_wrapped(spark: SparkSession, path: str, header: Sequence[str]) -> DataFrame:
+    """A delimited file whose header may stand below other lines; all columns text, missing ones ''.
+
+    The lines above it are told by the header's words and dropped by their
+    order in the file, wherever its pieces are read.
+    """
+    lines = spark.read.text(path)
+    head = lines.filter(F.split(F.regexp_replace("value", "^\ufeff|\"", ""), ",") == F.array(*[F.lit(h) for h in header]))
+    if head.isEmpty():
+        raise ValueError(f"no header {list(header)} in {path}")
+    schema = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    rows = spark.read.option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").schema(schema).csv(path)
+    at = rows.withColumn("_n", F.monotonically_increasing_id())  # a multi-line file is read in one piece, in order
+    first = at.filter(F.regexp_replace(F.col(header[0]), "^\ufeff", "") == header[0]).agg(F.min("_n").alias("_first"))
+    return at.crossJoin(F.broadcast(first)).filter("_n > _first").select(*header).fillna("")
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+    """Named tables under one folder, names cut to 31 characters and kept apart; sheet -> folder."""
+    out: dict[str, str] = {}
+    for name, df in tables.items():
+        short = name[:31]
+        k = 2
+        while short in out:
+            short = f"{name[: 31 - len(str(k)) - 1]}_{k}"
+            k += 1
+        out[short] = f"{path.rstrip('/')}/{short}"
+        df.write.mode("overwrite").parquet(out[short])
+    return out
+
+
+def write_facts(spark: SparkSession, facts: dict, path: str) -> None:
+    """A JSON document of single values, as one text file."""
+    spark.createDataFrame([(json.dumps(facts, ensure_ascii=False, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def registry_table(spark: SparkSession, groups: dict[str, Sequence[str]]) -> DataFrame:
+    """(rule_id, place, number) of a registry held in code."""
+    return spark.createDataFrame([(g, i, n) for g, members in groups.items() for i, n in enumerate(members, 1)], "rule_id string, place int, number string")
+
+
+def inverted(registry: DataFrame, rule: str, number: str) -> DataFrame:
+    """(number, groups): the groups of each number, sorted."""
+    return registry.groupBy(number).agg(F.array_join(F.array_sort(F.collect_set(rule)), ";").alias("groups"))

@@ -3,6 +3,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
+from sieveworks.functions import answers
 from sieveworks.functions import conditions as C
 from sieveworks.functions import text
 from sieveworks.operators import diff, metrics, quality, screen, votes, windows
@@ -28,7 +29,7 @@ def test_extraction_and_thresholds(spark):
         assert one(spark, C.threshold(F.col("t")), t=t) == want
     assert one(spark, C.clean(F.col("t")), t=" NaN ") == "" and one(spark, C.clean(F.col("t")), t=None) == ""
     assert one(spark, C.clean(F.col("t")), t="<NA>") == "<NA>" and one(spark, C.clean(F.col("t"), "wide"), t="<NA>") == ""
-    assert one(spark, C.first_object(F.col("t")), t='<think>{"no":1}</think>text ```json\n{"a": 1}``` end') == '{"a": 1}'
+    assert one(spark, answers.first_object(F.col("t")), t='<think>{"no":1}</think>text ```json\n{"a": 1}``` end') == '{"a": 1}'
     assert one(spark, C.head_and_tail(F.col("t"), 9, "..", 3), t="abcdefghijkl") == "abcdef..jkl"
 
 

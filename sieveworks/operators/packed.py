@@ -2,14 +2,16 @@
 
 The scan works on the byte buffer of an Arrow string array: quote parity is a
 running sum of quote bytes per value, delimiter bytes are masked where the
-parity is even, and the masked positions become child offsets of a list array
-that is flattened with the ordinals of its parents.
+parity is even, and the masked positions become child offsets over the same
+buffer. The members are taken from it as an Arrow array, trimmed and unquoted as
+a whole, and flattened with the ordinals of their parents.
 
 Delimiters: ``;`` ``|`` line feed, tab and the full-width ``；`` ``、``
 always; ``+`` ``&`` ``/`` between blanks; a comma before a blank, after a
 quoted value, or between blanks. A delimiter inside double quotes belongs to
 the value. A value wrapped in ``[`` and ``]`` around quoted members is read as
-a list. Null, blank and empty fields give no rows; empty members don't count.
+a list; only lists with escapes are decoded one by one. Null, blank and empty
+fields give no rows; empty members don't count.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Blanks that are trimmed from both ends of a member.
@@ -34,31 +37,33 @@ _SPACE[[ord(c) for c in " \t\r\n"]] = True
 _WIDE = [tuple(c.encode()) for c in "；、"]
 
 
-def _clean(member: str) -> str:
-    member = member.strip(BLANKS)
-    if len(member) >= 2 and member[0] == '"' and member[-1] == '"':
-        member = member[1:-1].replace('""', '"').strip(BLANKS)
-    return member
-
-
-def _members(field: str, lo: int, cuts: np.ndarray, widths: np.ndarray, raw: bytes, hi: int) -> list[str]:
-    inner = field.strip(BLANKS)
-    if inner[:1] == "[" and inner[-1:] == "]" and inner[1:].lstrip(BLANKS)[:1] == '"':
+def cleaned(members: pa.Array) -> pa.Array:
+    """Members without outer blanks and enclosing quotes, doubled quotes undone."""
+    members = pc.utf8_trim(members, characters=BLANKS)
+    quoted = pc.and_(pc.and_(pc.starts_with(members, '"'), pc.ends_with(members, '"')), pc.greater_equal(pc.utf8_length(members), 2))
+    if not pc.any(quoted, skip_nulls=True).as_py():
+        return members
+    inner = pc.utf8_trim(pc.replace_substring(pc.utf8_slice_codeunits(members, 1, -1), '""', '"'), characters=BLANKS)
+    return pc.if_else(quoted, inner, members)
+
+
+def _lists(values: pa.Array) -> tuple[pa.Array, dict[int, list[str]]]:
+    """Values with the brackets of lists taken off, and the members of lists with escapes by place."""
+    bare = pc.utf8_trim(values, characters=BLANKS)
+    listed = pc.and_(pc.starts_with(bare, "["), pc.ends_with(bare, "]"))
+    if not pc.any(listed).as_py():
+        return values, {}
+    inner = pc.utf8_slice_codeunits(bare, 1, -1)
+    listed = pc.and_(listed, pc.starts_with(pc.utf8_ltrim(inner, characters=BLANKS), '"'))
+    escaped: dict[int, list[str]] = {}
+    for i in np.flatnonzero(pc.and_(listed, pc.match_substring(inner, "\\")).to_numpy(zero_copy_only=False)):
         try:
-            got = json.loads(inner)
+            got = json.loads(bare[i].as_py())
             if all(isinstance(x, str) for x in got):
-                return [x.strip(BLANKS) for x in got]
+                escaped[int(i)] = [y for x in got if (y := x.strip(BLANKS))]
         except ValueError:
             pass
-        body = inner[1:-1].encode()
-        cuts, widths = delimiters(np.frombuffer(body, np.uint8), np.array([0, len(body)]))
-        raw, lo, hi = body, 0, len(body)
-    out, at = [], lo
-    for c, w in zip(cuts.tolist(), widths.tolist()):
-        out.append(raw[at:c].decode())
-        at = c + w
-    out.append(raw[at:hi].decode())
-    return [_clean(x) for x in out]
+    return pc.if_else(listed, inner, values), escaped
 
 
 def _wide_blanks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,23 +118,32 @@ def split_array(values: pa.Array) -> pa.ListArray:
     values = values.cast(pa.large_string())
     if values.null_count:
         values = values.fill_null("")
+    values, escaped = _lists(values)
     n = len(values)
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + n + 1] if n else np.zeros(1, np.int64)
-    base, end = int(offsets[0]), int(offsets[-1])
     body = values.buffers()[2]
-    raw = body.to_pybytes()[base:end] if body is not None else b""
-    offsets = offsets - base
-    cuts, widths = delimiters(np.frombuffer(raw, np.uint8), offsets)
-    bounds = np.searchsorted(cuts, offsets)
-    child, child_offsets = [], np.zeros(n + 1, np.int32)
-    for i in range(n):
-        lo, hi = int(offsets[i]), int(offsets[i + 1])
-        if hi > lo:
-            a, b = bounds[i], bounds[i + 1]
-            field = raw[lo:hi].decode()
-            child += [m for m in _members(field, lo, cuts[a:b], widths[a:b], raw, hi) if m]
-        child_offsets[i + 1] = len(child)
-    return pa.ListArray.from_arrays(pa.array(child_offsets), pa.array(child, pa.string()))
+    data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    cuts, widths = delimiters(data, offsets)
+    # members and what stands between them take turns in the buffer
+    starts, ends = np.sort(np.concatenate([offsets[:-1], cuts + widths])), np.sort(np.concatenate([cuts, offsets[1:]]))
+    bounds = np.empty(2 * len(starts), np.int64)
+    bounds[::2], bounds[1::2] = starts, ends
+    n_cuts = np.diff(np.searchsorted(cuts, offsets))
+    parent = np.repeat(np.arange(n), n_cuts + 1)
+    both = pa.LargeStringArray.from_buffers(max(len(bounds) - 1, 0), pa.py_buffer(bounds), pa.py_buffer(data))
+    members = cleaned(both.take(pa.array(np.arange(0, len(both), 2))))
+    keep = pc.greater(pc.binary_length(members), 0).to_numpy(zero_copy_only=False)
+    if escaped:
+        keep &= ~np.isin(parent, list(escaped))
+        at = np.concatenate([parent[keep], np.repeat(list(escaped), [len(x) for x in escaped.values()])])
+        members = pa.concat_arrays([members.filter(pa.array(keep)), pa.array([x for m in escaped.values() for x in m], pa.large_string())])
+        order = np.argsort(at, kind="stable")
+        members, parent = members.take(pa.array(order)), at[order]
+    else:
+        members, parent = members.filter(pa.array(keep)), parent[keep]
+    child_offsets = np.searchsorted(parent, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(child_offsets), members.cast(pa.string()))
 
 
 def unpack(df: DataFrame, id_col: str, fields: Sequence[str], least: int = 1) -> DataFrame:

@@ -24,8 +24,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _once(spark: SparkSession, d: str, name: str, key: str, fields: list[str]) -> DataFrame:
-    """One row a record, before its fields are split into many."""
-    return table(spark, d, name).select(key, *fields).dropDuplicates([key])
+    """One row a record, its first delivery, before its fields are split into many; rows without a key are none."""
+    first = F.min(F.struct("loaded_at", *fields)).alias("_s")  # deliveries of one time by their content
+    return table(spark, d, name).filter(F.col(key).isNotNull()).groupBy(key).agg(first).select(key, *[F.col(f"_s.{f}").alias(f) for f in fields])
 
 
 def p3_sizes(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,13 @@ from sieveworks.operators import packed
 BLANK = " \t\r\n\x85\xa0\u202f\u3000" + "".join(map(chr, range(0x2000, 0x200E)))
 
 
+def clean(member):
+    member = member.strip(packed.BLANKS)
+    if len(member) >= 2 and member[0] == '"' and member[-1] == '"':
+        member = member[1:-1].replace('""', '"').strip(packed.BLANKS)
+    return member
+
+
 def plain(field):
     """The rules of the split, character by character."""
     s = field.strip(packed.BLANKS)
@@ -26,7 +33,7 @@ def plain(field):
         else:
             cur += c
     out.append(cur)
-    return [x for x in map(packed._clean, out) if x]
+    return [x for x in map(clean, out) if x]
 
 
 CASES = {
@@ -35,6 +42,9 @@ CASES = {
     '"2,4-x ""A"" grade" | 1,3-y': ['2,4-x "A" grade', "1,3-y"],
     "Bis(2,4-x) ether, 2-(y)ethanol": ["Bis(2,4-x) ether", "2-(y)ethanol"],
     '["a","b; c"]': ["a", "b; c"],
+    r'["a \"q\"; b", "\u00e9", ""] ': ['a "q"; b', "é"],
+    '[ "a" , "b|c" ]': ["a", "b|c"],
+    "[a;b]": ["[a", "b]"],
     '"a","b"': ["a", "b"],
     "a；b、c": ["a", "b", "c"],
     ";; a ||b;": ["a", "b"],

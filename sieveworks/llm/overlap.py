@@ -45,7 +45,7 @@ from .fmindex import Index
 #: Texts of one shard; its index takes about three bytes a character, and some 40 while it is built.
 SHARD_TEXTS = 12_000
 #: Patterns of one shard that one task searches, and patterns searched at once.
-SLICE_PATTERNS, SEARCHED = 300_000, 50_000
+SLICE_PATTERNS, SEARCHED = 60_000, 50_000
 #: Evaluation names that may share the words beside one without being told apart by that word's halves.
 SHARED = 64
 #: Characters of the other words that are kept as they stand.
@@ -61,9 +61,9 @@ def substances(df: DataFrame, record_id: str, name: str, number: str) -> DataFra
 def _half(length: Column) -> Column:
     """The length of a word's end that a slip in its other half can't touch, by the length of the training side's word.
 
-    In steps of four, so that words whose lengths differ by one mostly agree.
+    In steps of two, so that words whose lengths differ by one mostly agree.
     """
-    return (F.floor(F.greatest(length - 1, F.lit(0)) / 8) * 4).cast("int")
+    return (F.floor(F.greatest(length - 1, F.lit(0)) / 4) * 2).cast("int")
 
 
 def _forms(split: DataFrame) -> DataFrame:

@@ -37,8 +37,16 @@ for _c in b"abcdefghijklmnopqrstuvwxyz0123456789":
     _WEIGHT[ord(chr(_c).upper())] = _SEEDED[_c]
 
 
+def _weights(points: np.ndarray) -> np.ndarray:
+    """Weight of each code point: that of its lower case if it is a letter or digit beyond ASCII, else 0."""
+    low = np.array([ord(chr(p).lower()[0]) if p > 127 and chr(p).isalnum() else 0 for p in points.tolist()], np.uint64)
+    with np.errstate(over="ignore"):
+        h = low * np.uint64(0x9E3779B97F4A7C15)
+        return np.where(low > 0, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), np.uint64(0))
+
+
 def histogram_hash(values: pa.Array) -> np.ndarray:
-    """Commutative hash of each value's ASCII letters and digits, case aside."""
+    """Commutative hash of each value's letters and digits, case aside."""
     values = values.cast(pa.large_string())
     if values.null_count:
         values = values.fill_null("")
@@ -49,7 +57,17 @@ def histogram_hash(values: pa.Array) -> np.ndarray:
     body = values.buffers()[2]
     data = np.frombuffer(body, np.uint8)[: offsets[-1]] if body is not None else np.zeros(0, np.uint8)
     run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_WEIGHT[data], dtype=np.uint64)])
-    return run[offsets[1:]] - run[offsets[:-1]]
+    out = run[offsets[1:]] - run[offsets[:-1]]
+    wide = np.concatenate([[0], np.cumsum(data > 127)])
+    at = np.flatnonzero(wide[offsets[1:]] > wide[offsets[:-1]])
+    if len(at):
+        texts = values.take(pa.array(at)).to_pylist()
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        known, which = np.unique(points, return_inverse=True)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_weights(known)[which.reshape(-1)], dtype=np.uint64)])
+        ends = np.cumsum([len(t) for t in texts])
+        out[at] += sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+    return out
 
 
 def _invariants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

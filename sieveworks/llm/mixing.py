@@ -3,10 +3,12 @@
 Every document of a source is repeated a number of times that is drawn from a
 Poisson distribution, by inverting it at a number hashed from the document's
 id. The distribution is cut at the source's cap and its rate raised so that the
-mean after the cut is the rate the target asks for. The total is the largest at
-which every source that has documents reaches its share within its cap, and no
-more than the size asked for. Shares of sources without documents are divided
-among the others in proportion; sources without a target get nothing.
+mean after the cut is the rate the target asks for. The total is the size asked
+for, by default that of all documents of the wanted sources; a source that would
+need more than its cap is used up to it and falls short, as its actual share
+tells. With ``exact_shares`` the total is lowered instead until every source
+that has documents reaches its share. Shares of sources without documents are
+divided among the others in proportion; sources without a target get nothing.
 
 Null and empty texts have size 0 and are left out. Empty tables give an empty
 mixture.
@@ -55,7 +57,7 @@ def steps(mean: float, cap: int) -> list[float]:
     return out
 
 
-def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
+def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None, exact_shares: bool = False) -> DataFrame:
     """One row per source of either side: (source, target_share, max_repeats, n_docs, n_tokens, rate, steps).
 
     sizes: (source, n_tokens) rows; there are as few sums as sources.
@@ -68,9 +70,10 @@ def plan(sizes: DataFrame, targets: DataFrame, total: int | None = None) -> Data
     rows = want.join(have, "source", "left").collect()
     live = [r for r in rows if r["source"] is not None and (r["target_share"] or 0) > 0 and (r["n_tokens"] or 0) > 0 and (r["max_repeats"] or 0) > 0]
     share = sum(r["target_share"] for r in live)
-    reach = min((r["max_repeats"] * r["n_tokens"] * share / r["target_share"] for r in live), default=0.0)
-    size = min(reach, total if total is not None else sum(r["n_tokens"] for r in live))
-    rate = {r["source"]: size * r["target_share"] / share / r["n_tokens"] for r in live}
+    size = float(total if total is not None else sum(r["n_tokens"] for r in live))
+    if exact_shares:
+        size = min(size, min((r["max_repeats"] * r["n_tokens"] * share / r["target_share"] for r in live), default=0.0))
+    rate = {r["source"]: min(float(r["max_repeats"]), size * r["target_share"] / share / r["n_tokens"]) for r in live}
     made = [
         (r["source"], float(r["target_share"] or 0), int(r["max_repeats"] or 0), int(r["n_docs"] or 0), int(r["n_tokens"] or 0), rate.get(r["source"], 0.0), steps(rate.get(r["source"], 0.0), int(r["max_repeats"] or 0)))
         for r in rows
@@ -94,11 +97,17 @@ def mixture(counted: DataFrame, seed: int = 17) -> DataFrame:
 
 
 def shares(counted: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per source: target and actual share of the mixture's tokens."""
-    got = counted.groupBy("source").agg(F.sum("n_copies").alias("n_mixed"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("mixed_tokens"), F.max("n_copies").alias("most_copies"))
-    total = got.agg(F.sum("mixed_tokens").alias("_all"))
-    return planned.drop("steps").join(got, "source", "left").crossJoin(F.broadcast(total)).select(
+    """Per source: target and actual share of the mixture's tokens, and the standard deviation that Poisson counts give the latter."""
+    got = counted.groupBy("source").agg(F.sum("n_copies").alias("n_mixed"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("mixed_tokens"), F.max("n_copies").alias("most_copies"), F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens")).alias("_squares"))
+    over = F.transform("steps", lambda x: 1 - x)
+    mean = F.aggregate(over, F.lit(0.0), lambda a, x: a + x)
+    square = F.aggregate(F.transform(over, lambda x, k: (2 * k + 1) * x), F.lit(0.0), lambda a, x: a + x)
+    joined = planned.join(got, "source", "left").withColumn("_var", F.coalesce(F.greatest(F.lit(0.0), square - mean * mean) * F.col("_squares"), F.lit(0.0)))
+    total = joined.agg(F.sum("mixed_tokens").alias("_all"), F.sum("_var").alias("_vars"))
+    share = F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("_all")), F.lit(0.0))
+    spread = F.sqrt(F.pow(1 - share, F.lit(2.0)) * F.col("_var") + share * share * (F.col("_vars") - F.col("_var")))
+    return joined.crossJoin(F.broadcast(total)).select(
         "source", "target_share", "max_repeats", "n_docs", "n_tokens", F.round("rate", 6).alias("rate"),
         *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_mixed", "most_copies", "mixed_tokens")],
-        F.coalesce(F.round(F.col("mixed_tokens") / F.col("_all"), 6), F.lit(0.0)).alias("actual_share"),
+        F.round(share, 6).alias("actual_share"), F.coalesce(F.round(F.try_divide(spread, F.col("_all")), 6), F.lit(0.0)).alias("share_sd"),
     )

@@ -83,7 +83,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Documents, tokens and exact round trips by source and language."""
     docs = table(spark, d, "documents").withColumn("lang", F.lower("lang"))
-    per = tokens.sizes(docs, "doc_id", "text", ["source", "lang"])
+    per = tokens.sizes(docs, "doc_id", "text", ["source", "lang"], back=True)
     return per.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.count_if("same").alias("n_round_trip"))
 
 

@@ -149,8 +149,8 @@ def encoded(docs: DataFrame, record_id: str, column: str, path: str | None = Non
     return docs.select(docs[record_id].alias("record_id"), docs[column].cast("string")).mapInArrow(run, f"record_id {kind}, ids array<int>")
 
 
-def sizes(docs: DataFrame, record_id: str, column: str, keep: list[str], path: str | None = None) -> DataFrame:
-    """(record_id, keep.., n_tokens, same): token counts, and whether decoding gives the text back."""
+def sizes(docs: DataFrame, record_id: str, column: str, keep: list[str], path: str | None = None, back: bool = False) -> DataFrame:
+    """(record_id, keep.., n_tokens, same): token counts, and if asked whether decoding gives the text back, else null."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def sizes(docs: DataFrame, record_id: str, column: str, keep: list[str], path: s
                 part = [texts[i] or "" for i in at]
                 for t, ids in zip(part, tree.encode(part)):
                     n.append(len(ids))
-                    same.append(tree.encoding.decode_bytes(ids.tolist()) == t.encode())
+                    same.append(tree.encoding.decode_bytes(ids.tolist()) == t.encode() if back else None)
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(n, pa.int64()), pa.array(same, pa.bool_())], ["record_id", *b.schema.names[2:], "n_tokens", "same"])
 
     cols = [docs[record_id].alias("record_id"), docs[column].cast("string").alias("_text"), *[docs[k] for k in keep]]

@@ -70,3 +70,10 @@ def test_histogram_is_blind_to_order_and_marks():
     for a in itertools.permutations(["Zinc", " 3-", "x。"]):
         assert dedupe.histogram_hash(pa.array(["".join(a)]))[0] == dedupe.histogram_hash(pa.array(["zinc3x"]))[0]
     assert dedupe.histogram_hash(pa.array(["a", None, ""]).slice(1)).tolist() == [0, 0]
+
+
+def test_histogram_hash_of_letters_beyond_ascii():
+    import pyarrow as pa
+
+    h = dedupe.histogram_hash(pa.array(["염산 나트륨", "나트륨-염산", "염산 칼륨", "Äpfel", "ÄPFEL ", "Apfel", None, "x"]).slice(0)).tolist()
+    assert h[0] == h[1] != h[2] and h[3] == h[4] != h[5] and h[6] == 0 and dedupe.histogram_hash(pa.array(["q", "é a", "A É"]).slice(1)).tolist()[0] == dedupe.histogram_hash(pa.array(["A É"])).tolist()[0]

@@ -26,7 +26,7 @@ def sizes(spark):
 def test_shares_are_met_within_caps(spark):
     t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.48, 3), ("absent", 0.02, 5)], "source string, target_share double, max_repeats int")
     s = sizes(spark)
-    plan = X.plan(s, t)
+    plan = X.plan(s, t, exact_shares=True)
     got = {r["source"]: r for r in X.shares(X.repeats(s, plan), plan).collect()}
     assert abs(got["big"]["actual_share"] - 0.5 / 0.98) < 0.01 and abs(got["small"]["actual_share"] - 0.48 / 0.98) < 0.01
     assert got["absent"]["mixed_tokens"] == 0 and got["small"]["most_copies"] <= 3 and got["big"]["most_copies"] <= 1 and "untold" not in got
@@ -35,6 +35,23 @@ def test_shares_are_met_within_caps(spark):
     assert [r["shuffle_key"] for r in mix.limit(50).collect()] == sorted(r["shuffle_key"] for r in mix.limit(50).collect())
 
 
+def test_small_source_falls_short_and_spread_is_stated(spark):
+    t = spark.createDataFrame([("big", 0.6, 1), ("small", 0.35, 3), ("tiny", 0.05, 2)], "source string, target_share double, max_repeats int")
+    s = sizes(spark)
+    got = {}
+    for seed in range(12):
+        plan = X.plan(s, t)
+        for r in X.shares(X.repeats(s, plan, seed), plan).collect():
+            got.setdefault(r["source"], []).append(r)
+    total = 20000 * 24.5 + 3000 * 24.5 + 50 * 24.5
+    assert all(r["most_copies"] == 2 and r["rate"] == 2.0 for r in got["tiny"])  # used up to its cap
+    assert all(abs(r["rate"] - 0.6 * total / (20000 * 24.5)) < 1e-3 for r in got["big"])
+    for source, rows in got.items():
+        mean = sum(r["actual_share"] for r in rows) / len(rows)
+        sd = (sum((r["actual_share"] - mean) ** 2 for r in rows) / (len(rows) - 1)) ** 0.5
+        assert sd < 2 * rows[0]["share_sd"] + 1e-9 and rows[0]["share_sd"] < 0.01, source
+
+
 def test_empty(spark):
     s = sizes(spark).limit(0)
     t = spark.createDataFrame([("big", 0.5, 1)], "source string, target_share double, max_repeats int")

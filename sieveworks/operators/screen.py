@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .spread import spread_join
+
 EPSILON = 1e-12
 
 
@@ -52,14 +54,27 @@ def fallback_join(left: DataFrame, right: DataFrame, first: str, second: str, va
     return hit.withColumn("matched_by", F.lit(first)).unionByName(rest.withColumn("matched_by", F.lit(second)))
 
 
-def member_signature(df: DataFrame, owner: str, member: str) -> DataFrame:
-    """(owner, signature): the sorted distinct members of each owner."""
-    return df.filter(F.col(member).isNotNull()).groupBy(owner).agg(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), "|").alias("signature"))
+def member_sets(df: DataFrame, owner: str, member: str) -> DataFrame:
+    """(owner, members): the sorted distinct members of each owner."""
+    return df.filter(F.col(member).isNotNull()).groupBy(owner).agg(F.array_sort(F.collect_set(F.col(member).cast("string"))).alias("members"))
+
+
+def set_classes(a: DataFrame, b: DataFrame, owner_a: str, owner_b: str, member: str) -> DataFrame:
+    """(side, owner, set_id, n_a, n_b): owners of either side whose set of members also occurs on the other, by class.
+
+    A set that very many owners share gives as many rows as owners, not pairs.
+    """
+    x = member_sets(a, owner_a, member).select(F.lit("a").alias("side"), F.col(owner_a).alias("owner"), "members")
+    y = member_sets(b, owner_b, member).select(F.lit("b").alias("side"), F.col(owner_b).alias("owner"), "members")
+    every = x.unionByName(y).select("side", "owner", F.sha2(F.to_json("members"), 256).alias("set_id"))
+    sizes = every.groupBy("set_id").agg(F.count_if(F.col("side") == "a").alias("n_a"), F.count_if(F.col("side") == "b").alias("n_b"), F.count(F.lit(1)).alias("n")).filter("n_a > 0 and n_b > 0")
+    return spread_join(every, sizes, ["set_id"], "owner").select("side", "owner", "set_id", "n_a", "n_b")
 
 
 def same_sets(a: DataFrame, b: DataFrame, owner_a: str, owner_b: str, member: str) -> DataFrame:
-    """Owners whose sets of members are equal."""
-    return member_signature(a, owner_a, member).join(member_signature(b, owner_b, member), "signature").select(owner_a, owner_b, "signature")
+    """Owners whose sets of members are equal, as pairs; ``set_classes`` where sets are common."""
+    met = member_sets(a, owner_a, member).join(member_sets(b, owner_b, member), "members")
+    return met.select(owner_a, owner_b, F.array_join("members", "|").alias("signature"))
 
 
 def unique_target(memberships: DataFrame, item: str, target: str) -> DataFrame:

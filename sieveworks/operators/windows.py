@@ -83,6 +83,15 @@ def top_distinct(df: DataFrame, by: str, distinct: str, order: Sequence[Column],
     return df.withColumn("_b", best).filter("_b = 1").drop("_b").withColumn("place", top).filter(F.col("place") <= n)
 
 
+def first_distinct(df: DataFrame, by: str, value: str, at: str, n: int, sep: str) -> DataFrame:
+    """(by, joined, n_distinct): the first n distinct values of each key, joined in the order they came, and how many there are."""
+    first = df.groupBy(by, value).agg(F.min(at).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_at", value))  # a limit, which is applied before the shuffle too
+    few = first.withColumn("_p", place).filter(F.col("_p") <= n).groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_p", value))).alias("_v"))
+    counts = first.groupBy(by).agg(F.count(F.lit(1)).alias("n_distinct"))
+    return few.join(counts, by).select(by, F.array_join(F.col(f"_v.{value}"), sep).alias("joined"), "n_distinct")
+
+
 def smallest(df: DataFrame, hashed: str, ident: str, n: int) -> DataFrame:
     """The n rows with the smallest hashes, ties by id; ``hashed`` is a column of hexadecimal digits.
 

@@ -235,8 +235,7 @@ select l_suppkey, string_agg(p_brand, '; ' order by first_key, p_brand) filter (
 def composite_summary(spark: SparkSession, d: str) -> DataFrame:
     """The first six distinct brands of each supplier, in the order they came."""
     s = table(spark, d, "lineitem").join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.min("l_orderkey").alias("k"))
-    per = s.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("k", "p_brand"))).alias("b"), F.count(F.lit(1)).alias("n_brands"))
-    return per.select("l_suppkey", F.array_join(F.slice(F.col("b.p_brand"), 1, 6), "; ").alias("brands"), "n_brands")
+    return windows.first_distinct(s, "l_suppkey", "p_brand", "k", 6, "; ").select("l_suppkey", F.col("joined").alias("brands"), F.col("n_distinct").alias("n_brands"))
 
 
 @query("""

@@ -118,6 +118,15 @@ def set_equality_match(spark: SparkSession, d: str) -> DataFrame:
     return screen.same_sets(a, b, "a_key", "b_key", "l_partkey")
 
 
+@query("""
+with s as (select l_orderkey, list_sort(list(distinct cast(l_partkey as varchar))) as ms from lineitem group by 1), c as (select ms, count(*) filter (l_orderkey % 2 = 0) as n_a, count(*) filter (l_orderkey % 2 = 1) as n_b from s group by 1)
+select case when l_orderkey % 2 = 0 then 'a' else 'b' end as side, l_orderkey as owner, n_a, n_b from s join c on s.ms = c.ms where n_a > 0 and n_b > 0""")
+def set_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Even and odd orders by the sets of parts they share, a row per order."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    return screen.set_classes(l.filter("l_orderkey % 2 = 0"), l.filter("l_orderkey % 2 = 1"), "l_orderkey", "l_orderkey", "l_partkey").drop("set_id")
+
+
 @query("""
 with m as (select distinct upper(trim(candidate_cas, ' ')) as cas, target_scope_id as target from mixture_candidates_seed where trim(candidate_cas, ' ') <> '' and target_scope_id is not null
  union select distinct upper(trim(official_mixture_cas, ' ')), target_scope_id from mixture_regulatory_reference where trim(official_mixture_cas, ' ') <> '' and target_scope_id is not null)

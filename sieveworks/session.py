@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ def local_session(cores: int = 8, partitions: int | None = None) -> SparkSession
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -29,8 +32,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a temporary
-    folder of this machine is made and set for the session.
+    Where that setting is missing, a local session (tests on one machine) gets
+    a temporary folder; on a cluster it is an error, as no folder of one
+    machine would do.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,7 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="sieveworks-")
+    atexit.register(shutil.rmtree, made, True)
     sc.setCheckpointDir(made)
     return made
 

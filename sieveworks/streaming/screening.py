@@ -21,10 +21,12 @@ def screened(stream: DataFrame, rules: DataFrame, key: str, hit: Column) -> Data
     return stream.join(rules, key, "left").withColumn("triggered", F.coalesce(hit, F.lit(False)))
 
 
-def windowed(hits: DataFrame, time: str, size: str, by: str) -> DataFrame:
-    """Items and hits per window and key."""
-    per = hits.groupBy(F.window(time, size), by).agg(F.count(F.lit(1)).alias("n"), F.count_if("triggered").alias("n_triggered"))
-    return per.select(F.col("window.start").alias("window_start"), by, "n", "n_triggered")
+def windowed(hits: DataFrame, time: str, size: str, by: str, late: str) -> DataFrame:
+    """Items and hits per window and key; windows older than ``late`` are closed and leave the state."""
+    kind = hits.schema[time].dataType
+    timed = hits.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+    per = timed.groupBy(F.window(time, size), by).agg(F.count(F.lit(1)).alias("n"), F.count_if("triggered").alias("n_triggered"))
+    return per.select(F.col("window.start").cast(kind).alias("window_start"), by, "n", "n_triggered")
 
 
 def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
@@ -32,3 +34,11 @@ def drain(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     query = df.writeStream.format("parquet").outputMode(mode).option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def drain_updates(df: DataFrame, folder: str) -> DataFrame:
+    """Run a stream of changing rows over all that is there and read every state of them; a repeated batch replaces itself."""
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    query = df.writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/out").select(*df.columns)

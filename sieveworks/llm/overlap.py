@@ -184,8 +184,9 @@ def matched_keys(train: DataFrame, evaluation: DataFrame, shard_texts: int = SHA
         return df.select(cell.alias("cell"), F.lit(k).cast("byte").alias("side"), "kind", "route", "text", "tail", "key", "seen", "used")
 
     both = side(texts, 0, "parts", "slices").unionByName(side(patterns, 1, "slices", "parts"))
-    # a task has about four shards at most, however many there are
-    both = both.repartition(max(shuffle_width(train.sparkSession), n_shards // 4), "cell").sortWithinPartitions("cell", "side")
+    # a task has about three cells at most, however many there are
+    n_cells = n_shards + (grown.agg(F.sum(F.col("parts") * F.col("slices") - 1)).first()[0] or 0)
+    both = both.repartition(max(shuffle_width(train.sparkSession), n_cells // 3), "cell").sortWithinPartitions("cell", "side")
     return both.mapInArrow(_stream, "query long, q_seen byte, entry long, e_seen byte, slips int, kind byte")
 
 

@@ -81,6 +81,11 @@ def quantity(c: Column) -> tuple[Column, Column]:
     return F.regexp_extract(c, QUANTITY_CONDITION, 1).try_cast("double"), F.lower(F.regexp_extract(c, QUANTITY_CONDITION, 2))
 
 
+def echoed(c: Column, pattern: str) -> Column:
+    """The text itself where it says what the pattern looks for, else ''."""
+    return F.when(c.rlike(pattern), c).otherwise("")
+
+
 def first_class(cases: Sequence[tuple[Column, str]], otherwise: str) -> Column:
     """The label of the first condition that holds; a null condition doesn't."""
     return F.coalesce(*[F.when(cond, label) for cond, label in cases], F.lit(otherwise))

@@ -57,6 +57,48 @@ def strict_rates(c: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return c.select(*by, fn.alias("fn_all"), ratio(tp, tp + fp, 0.0).alias("precision"), ratio(tp, tp + fn, 0.0).alias("recall"), ratio(tp + tn, F.col("n_total"), 0.0).alias("accuracy"), ratio(F.col("n_review"), F.col("n_total"), 0.0).alias("review_rate"))
 
 
+def automation_rates(df: DataFrame, truth: Column, flagged: Column, by: Sequence[str] = ()) -> DataFrame:
+    """All rows by two truth values, null is false: what was missed, what was flagged without need, and the rates."""
+    t, p = F.coalesce(truth, F.lit(False)), F.coalesce(flagged, F.lit(False))
+    k = df.groupBy(*by).agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t & ~p).alias("tn"))
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return k.select(*by, fn.alias("false_safe"), fp.alias("over_screening"), ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tn, tn + fp).alias("specificity"), ratio(fp, tn + fp).alias("false_positive_rate"), ratio(fn, tp + fn).alias("false_safe_rate"))
+
+
+def by_scope_and_mode(df: DataFrame, scope: str, mode: str, truth: Column, pred: Column) -> DataFrame:
+    """(scope, mode, n, coverage, selective_accuracy), with ALL for each and both, from one pass of grouping sets."""
+    decided = pred != "REVIEW"
+    rows = df.select(F.coalesce(scope, F.lit("")).alias("scope"), F.coalesce(mode, F.lit("")).alias("mode"), decided.cast("int").alias("_d"), (decided & (truth == pred)).cast("int").alias("_r"))
+    per = rows.cube("scope", "mode").agg(F.count(F.lit(1)).alias("n"), F.sum("_d").alias("_d"), F.sum("_r").alias("_r"), F.grouping("scope").alias("_s"), F.grouping("mode").alias("_m"))
+    name = lambda c, g: F.when(F.col(g) == 1, "ALL").otherwise(F.col(c)).alias(c)
+    return per.select(name("scope", "_s"), name("mode", "_m"), "n", ratio(F.col("_d"), F.col("n")).alias("coverage"), ratio(F.col("_r"), F.col("_d")).alias("selective_accuracy"))
+
+
+def over_repeats(df: DataFrame, by: Sequence[str], values: Sequence[str], noted: Sequence[str], order: str) -> DataFrame:
+    """(by.., n, mean and std of each value, noted..): a single repeat has no spread; of what is noted the first that isn't null counts."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c)
+    stats = [x for v in values for x in (F.round(F.avg(v), 6).alias(f"{v}_mean"), F.round(F.coalesce(F.stddev_samp(v), F.lit(0.0)), 6).alias(f"{v}_std"))]
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *stats, *[first(c) for c in noted])
+
+
+def failures(df: DataFrame, kind: Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by.., failure, n, share): failures by kind, a null kind is none; the most frequent first."""
+    per = df.withColumn("failure", kind).filter("failure is not null").groupBy(*by, "failure").agg(F.count(F.lit(1)).alias("n"))
+    total = per.agg(F.sum("n").alias("_all"))
+    return per.crossJoin(F.broadcast(total)).select(*by, "failure", "n", ratio(F.col("n"), F.col("_all")).alias("share")).orderBy(F.desc("n"), *by, "failure")
+
+
+def usage(calls: DataFrame, by: Sequence[str], ok: Column, amounts: Sequence[str]) -> DataFrame:
+    """(by.., n_calls, n_ok, sum of each amount over good calls); amounts that are no numbers count as missing."""
+    good = F.coalesce(ok, F.lit(False))
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("n_calls"), F.count_if(good).alias("n_ok"), *[F.round(F.coalesce(F.sum(F.when(good, F.col(a).cast("string").try_cast("double"))), F.lit(0.0)), 4).alias(a) for a in amounts])
+
+
+def figure_frame(df: DataFrame, row: str, column: str, values: Sequence[str], amount: Column) -> DataFrame:
+    """Mean of an amount by row and the named columns, absent cells 0, sorted by row."""
+    return df.groupBy(row).pivot(column, list(values)).agg(F.round(F.avg(amount), 6)).fillna(0.0).orderBy(row)
+
+
 def retrieval_rates(df: DataFrame, truth: Column, pred: Column, by: Sequence[str] = ()) -> DataFrame:
     """Outcomes of target ids: NOT_FOUND and REVIEW are answers too, review is never right."""
     absent, none = truth == "NOT_FOUND", pred == "NOT_FOUND"

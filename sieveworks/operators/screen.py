@@ -23,6 +23,16 @@ def meets(value: Column, limit: Column, operator: Column) -> Column:
     return F.when(operator == ">=", value >= limit - EPSILON).when(operator == ">", value > limit + EPSILON)
 
 
+def meets_or_fails(value: Column, limit: Column, operator: Column) -> Column:
+    """``meets``, but an error for an operator that is none of the known."""
+    return F.when(operator.isin(">=", ">"), meets(value, limit, operator)).otherwise(F.raise_error(F.concat(F.lit("unknown operator "), F.coalesce(operator, F.lit("null")))))
+
+
+def trigger_categories(value: Column, limits: Mapping[str, Column]) -> Column:
+    """Names of the limits that the value reaches, in order; missing ones don't count."""
+    return F.array_join(F.array_compact(F.array(*[F.when(value >= c, F.lit(k)) for k, c in limits.items()])), ";")
+
+
 def direction(old: Column, new: Column) -> Column:
     """How a limit moved: a lower one is stricter; a missing side needs review."""
     return F.when(old.isNull() | new.isNull(), "review").when(F.abs(old - new) <= EPSILON, "maintained").when(new < old, "strengthened").otherwise("relaxed")
@@ -45,6 +55,26 @@ def with_no_match(hits: DataFrame, items: DataFrame, item_id: str, sentinel: Map
     return hits.select(item_id, *sentinel).unionByName(rest)
 
 
+def bridged(items: DataFrame, bridge: DataFrame, summary: DataFrame, item_key: str, target: str, valid: Column) -> DataFrame:
+    """items joined with the summary of each target that a valid row of the bridge (item_key, target, ..) leads to, each pair once."""
+    pairs = bridge.filter(F.coalesce(valid, F.lit(False))).select(item_key, target).dropna().distinct()
+    return items.join(pairs, item_key).join(summary, target)
+
+
+def looked_up(df: DataFrame, pairs: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """df with the value of its key in pairs, made unique first, or the default."""
+    one = pairs.dropna(subset=[key]).groupBy(key).agg(F.min(value).alias(value))
+    return df.join(one, key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
+def checked_join(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """A join to at most one row a key; a key that the right side has twice is an error where it is met."""
+    rest = [c for c in right.columns if c != key]
+    one = right.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_s"))
+    safe = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"{key} isn't unique: "), F.col(key).cast("string")))).otherwise(F.col("_s"))
+    return left.join(one.select(key, safe.alias("_s")), key, how).select(*left.columns, *[F.col(f"_s.{c}").alias(c) for c in rest])
+
+
 def fallback_join(left: DataFrame, right: DataFrame, first: str, second: str, values: Sequence[str]) -> DataFrame:
     """left joined with right on ``first``; rows without a partner on ``second`` instead."""
     one = right.filter(F.col(first).isNotNull()).select(first, *values)

@@ -26,6 +26,15 @@ def filter_or_all(df: DataFrame, by: str, keep: Column) -> DataFrame:
     return df.join(some, by, "left").filter(keep | F.col("_some").isNull()).drop("_some")
 
 
+def guarded(df: DataFrame, *conditions: Column) -> DataFrame:
+    """df filtered by each condition in turn, but for those that would leave no row at all; one flag a condition is broadcast."""
+    for keep in conditions:
+        met = F.coalesce(keep, F.lit(False))
+        some = df.agg(F.coalesce(F.bool_or(met), F.lit(False)).alias("_any"))
+        df = df.crossJoin(F.broadcast(some)).filter(met | ~F.col("_any")).drop("_any")
+    return df
+
+
 def keep_first(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Sequence[str]) -> DataFrame:
     """The first row of each key by order, with the number of rows, as an aggregate: a hot key needs no window."""
     return df.groupBy(*by).agg(F.min(F.struct(*order, *[v for v in values if v not in order])).alias("_m"), F.count(F.lit(1)).alias("n_copies")).select(*by, "_m.*", "n_copies")
@@ -75,6 +84,26 @@ def place(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return out.withColumn("place", F.col("place") + F.col("_n0")).drop("_block", "_by", "_b", "_n0")
 
 
+def rising_segments(df: DataFrame, by: str, order: Sequence[str], number: Column) -> DataFrame:
+    """df with segment: a new one begins where the number isn't above the last one of its key; counted by blocks."""
+    b = in_blocks(df.withColumn("_n", number), by, order)
+    w = Window.partitionBy(by, "_block").orderBy(*order)
+    up_to = w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = b.groupBy(F.col(by).alias("_by"), F.col("_block").alias("_b")).agg(F.max_by("_n", F.when(F.col("_n").isNotNull(), F.struct(*order))).alias("_end"))
+    before = Window.partitionBy("_by").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_end", F.last("_end", ignorenulls=True).over(before))
+    met = b.withColumn("_last", F.last("_n", ignorenulls=True).over(up_to)).join(ends, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_block") == F.col("_b")))
+    last = F.coalesce("_last", "_end")
+    starts = F.when(F.col("_n").isNotNull() & (last.isNull() | (F.col("_n") <= last)), 1).otherwise(0)
+    flagged = met.withColumn("segment", starts.cast("long")).drop("_n", "_block", "_last", "_by", "_b", "_end")
+    return running_sums(flagged, by, order, ["segment"])
+
+
+def numbered(df: DataFrame, order: Sequence[str], form: str) -> DataFrame:
+    """df with id: row numbers in order, written by a format such as 'C%05d'; counted by blocks, so no task holds all rows."""
+    return place(df.withColumn("_all", F.lit(0)), "_all", order).withColumn("id", F.format_string(form, "place")).drop("_all", "place")
+
+
 def top_distinct(df: DataFrame, by: str, distinct: str, order: Sequence[Column], n: int) -> DataFrame:
     """The best n rows of each key, no two with the same ``distinct``."""
     # both are limits on a row number, which Spark applies before the shuffle too

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, rules, scope
 from ..functions import conditions as C
-from ..operators import gates, votes, windows
+from ..operators import gates, metrics, quality, screen, votes, windows
 from ..operators import governance as G
 from ..session import table
 from ..sources import grids, tables
@@ -451,3 +451,128 @@ def rules_in_rows(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("reference_membership") == "MATCH", "A").when(F.col("reference_membership") == "NO_MATCH", "B")
     out = grids.rules_in_rows(one, "case_id", ["chemical_name", "cas", "notes"], "rule", ["loaded_at", "case_id"], kind)
     return out.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("numbers")).alias("n_numbers"))
+
+
+@query("""
+with t as (select o_orderkey, o_orderstatus, o_totalprice, year(o_orderdate) as y from orders), a as (select * from t where y = (select max(y) from t) or not exists (select 1 from t where y = (select max(y) from t))), b as (select * from a where o_orderstatus = 'X' or not exists (select 1 from a where o_orderstatus = 'X'))
+select y, o_orderstatus, count(*) as n from b group by 1, 2""")
+def guarded_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The latest year, and of it a status that no order has, which therefore keeps them all."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("long").alias("y"))
+    last = o.agg(F.max("y").alias("_y"))
+    rows = o.crossJoin(F.broadcast(last))
+    return windows.guarded(rows, F.col("y") == F.col("_y"), F.col("o_orderstatus") == "X").groupBy("y", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with x as (select user_id % 5 as part, event_id, cast(round(value) as bigint) as n, lag(cast(round(value) as bigint)) over (partition by user_id % 5 order by ts, event_id) as last, ts from events), s as (select part, sum(case when last is null or n <= last then 1 else 0 end) over (partition by part order by ts, event_id) as segment from x)
+select part, cast(segment as bigint) as segment, count(*) as n from s group by 1, 2""")
+def rising_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of events whose value rises, of five hot parts."""
+    e = table(spark, d, "events").select((F.col("user_id") % 5).alias("part"), "ts", "event_id", F.round("value").cast("long").alias("v"))
+    return windows.rising_segments(e, "part", ["ts", "event_id"], F.col("v")).groupBy("part", "segment").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select p_partkey, printf('PART_%05d', row_number() over (order by p_retailprice, p_partkey)) as id from part""")
+def numbered_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Ids by the order of prices."""
+    return windows.numbered(table(spark, d, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], "PART_%05d").select("p_partkey", "id")
+
+
+@query("""
+with v as (select p_type, concat_ws(';', case when p_size >= p_partkey % 30 then 'acute' end, case when p_partkey % 4 > 0 and p_size >= 20 then 'chronic' end, case when p_size >= 40 then 'eco' end) as categories from part) select p_type, categories, count(*) as n from v group by 1, 2""")
+def limit_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Categories whose limit, held in columns, is reached; some are missing."""
+    limits = {"acute": F.col("p_partkey") % 30, "chronic": F.when(F.col("p_partkey") % 4 > 0, F.lit(20)), "eco": F.lit(40)}
+    return table(spark, d, "part").groupBy("p_type", screen.trigger_categories(F.col("p_size"), limits).alias("categories")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with b as (select distinct n_name, n_regionkey from nation where n_nationkey % 5 > 0), s as (select r_regionkey as n_regionkey, r_name, 1 as k from region)
+select c_mktsegment, r_name, count(*) as n from customer join nation on c_nationkey = n_nationkey join b on nation.n_name = b.n_name join s on b.n_regionkey = s.n_regionkey group by 1, 2""")
+def validated_bridge(spark: SparkSession, d: str) -> DataFrame:
+    """Customers led to regions by the valid rows of a bridge only."""
+    nation = table(spark, d, "nation")
+    items = table(spark, d, "customer").join(nation.select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    summary = table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    return screen.bridged(items, nation.select("n_name", "n_regionkey", "n_nationkey"), summary, "n_name", "n_regionkey", F.col("n_nationkey") % 5 > 0).groupBy("c_mktsegment", "r_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""select s_nationkey, n_name, n_regionkey, count(*) as n from supplier left join nation on s_nationkey = n_nationkey group by 1, 2, 3""")
+def unique_join(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers joined to the one row of their nation, which must be unique."""
+    one = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    return screen.checked_join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), one, "s_nationkey").groupBy("s_nationkey", "n_name", "n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with k as (select l_returnflag, count(*) filter (l_discount > 0.05 and l_tax > 0.04) as tp, count(*) filter (not l_discount > 0.05 and l_tax > 0.04) as fp, count(*) filter (l_discount > 0.05 and not l_tax > 0.04) as fn, count(*) filter (not l_discount > 0.05 and not l_tax > 0.04) as tn from lineitem group by 1)
+select l_returnflag, fn as false_safe, fp as over_screening, round((tp + tn) / (tp + fp + fn + tn), 6) as accuracy, round(tn / nullif(tn + fp, 0), 6) as specificity, round(fp / nullif(tn + fp, 0), 6) as false_positive_rate, round(fn / nullif(tp + fn, 0), 6) as false_safe_rate from k""")
+def confusion_automation(spark: SparkSession, d: str) -> DataFrame:
+    """What a flag misses and what it raises without need, over all rows."""
+    return metrics.automation_rates(table(spark, d, "lineitem"), F.col("l_discount") > 0.05, F.col("l_tax") > 0.04, ["l_returnflag"])
+
+
+@query("""
+with c as (select case_id, min(split) as split, coalesce(min(source), '') as source, min(coalesce(reference_membership, '')) as m, min(coalesce(difficulty, '')) as df, min(coalesce(challenge_class, '')) as cl from identity_e2e_v6_72 group by 1),
+e as (select coalesce(split, '') as scope, source as mode, case when upper(m) = 'MATCH' then 'MATCH' else 'NO_MATCH' end as t, case when df = 'hard' then 'REVIEW' when cl like '%salt%' then 'MATCH' else 'NO_MATCH' end as p from c)
+select case when grouping(scope) = 1 then 'ALL' else scope end as scope, case when grouping(mode) = 1 then 'ALL' else mode end as mode, count(*) as n, round(count(*) filter (p <> 'REVIEW') / count(*), 6) as coverage, round(count(*) filter (p <> 'REVIEW' and p = t) / nullif(count(*) filter (p <> 'REVIEW'), 0), 6) as selective_accuracy from e group by cube (e.scope, e.mode)""")
+def selective_by_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage and accuracy where decided, by split, source, both and overall."""
+    from .evaluation import _cases
+
+    return metrics.by_scope_and_mode(_cases(spark, d), "split", "source", F.col("truth"), F.col("pred"))
+
+
+@query("""
+with r as (select event_type, user_id % 7 as g, avg(value) as v, max(event_id) as k, min(case when event_id % 3 = 0 then event_id end) as note from events group by 1, 2)
+select event_type, count(*) as n, round(avg(v), 6) as v_mean, round(coalesce(stddev_samp(v), 0), 6) as v_std, arg_min(note, k) filter (note is not null) as note from r group by 1""")
+def repeats_with_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and spread over repeats, with the first note there is."""
+    r = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 7).alias("g")).agg(F.avg("value").alias("v"), F.max("event_id").alias("k"), F.min(F.when(F.col("event_id") % 3 == 0, F.col("event_id"))).alias("note"))
+    return metrics.over_repeats(r, ["event_type"], ["v"], ["note"], "k")
+
+
+@query("""
+with f as (select case when text is null then 'NULL_TEXT' when trim(text, ' ') = '' then 'BLANK_TEXT' when lang is null then 'NO_LANGUAGE' end as failure from documents) select failure, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from f where failure is not null group by 1""")
+def failure_summary(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with texts, by kind."""
+    kind = F.when(F.col("text").isNull(), "NULL_TEXT").when(F.trim("text") == "", "BLANK_TEXT").when(F.col("lang").isNull(), "NO_LANGUAGE")
+    return metrics.failures(table(spark, d, "documents"), kind)
+
+
+@query("""select event_type, count(*) as n_calls, count(*) filter (value > 20) as n_ok, round(coalesce(sum(value) filter (value > 20), 0), 4) as value, round(coalesce(sum(cast(user_id as double)) filter (value > 20), 0), 4) as user_id from events group by 1""")
+def call_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and what the good ones used."""
+    return metrics.usage(table(spark, d, "events"), ["event_type"], F.col("value") > 20, ["value", "user_id"])
+
+
+@query("""
+select coalesce(source, '') as source, coalesce(round(avg(n_chars) filter (lower(lang) = 'en'), 6), 0) as en, coalesce(round(avg(n_chars) filter (lower(lang) = 'ko'), 6), 0) as ko from documents group by 1""")
+def figure_table(spark: SparkSession, d: str) -> DataFrame:
+    """Mean lengths by source and language, as a figure takes them."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), F.lower("lang").alias("lang"), "n_chars")
+    return metrics.figure_frame(docs, "source", "lang", ["en", "ko"], F.col("n_chars"))
+
+
+@query("""
+with k as (select 'six_per_region' as check_name, count(*) as n_rows, count(*) filter (n <> 5) as n_bad, 'FAIL' as bad from (select count(*) as n from nation group by n_regionkey) union all select 'price_odd', count(*), count(*) filter (p_retailprice > 1500), 'WARN' from part)
+select count(*) as n_checks, count(*) filter (n_bad > 0 and bad = 'FAIL') as n_fail, count(*) filter (n_bad > 0 and bad = 'WARN') as n_warn, case when count(*) filter (n_bad > 0 and bad = 'FAIL') > 0 then 'FAIL' when count(*) filter (n_bad > 0 and bad = 'WARN') > 0 then 'WARN' else 'PASS' end as status from k""")
+def overall_status(spark: SparkSession, d: str) -> DataFrame:
+    """One status of several checks, some of which only warn."""
+    return quality.overall(quality.all_checks([quality.equal_counts(table(spark, d, "nation"), "six_per_region", "n_regionkey", 5), quality.warn(table(spark, d, "part"), "price_odd", F.col("p_retailprice") > 1500)]))
+
+
+@query("""
+select 'small' as view, p_type, count(*) as n from part where p_size < 10 group by 2 union all select 'cheap', p_type, count(*) from part where p_retailprice < 1000 group by 2""")
+def tagged_views(spark: SparkSession, d: str) -> DataFrame:
+    """Two views of the parts on end; some parts are in both."""
+    return quality.views(table(spark, d, "part"), {"small": F.col("p_size") < 10, "cheap": F.col("p_retailprice") < 1000}).groupBy("view", "p_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+with r as (select rule_id, threshold_operator || ' ' || threshold_pct || '%' as t from group_rules) select rule_id, case when threshold_operator is null then '' else t end as echoed from r join (select rule_id as k, threshold_operator from group_rules) on rule_id = k""")
+def echoed_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Conditions echoed where a rule states one."""
+    t = F.concat(F.coalesce("threshold_operator", F.lit("")), F.lit(" "), F.col("threshold_pct").cast("string"), F.lit("%"))
+    return table(spark, d, "group_rules").select("rule_id", C.echoed(t, r"^[><]").alias("echoed"))

@@ -17,22 +17,29 @@ query = R.query
 QUERIES, SQL = R.queries, R.sql
 
 
-@query()
+@query(r"""
+with r as (select payload as p from rule_file_records), b as (select regexp_replace(regexp_replace(p, '^[\s\x{85}\x{a0}\x{feff}]+', ''), '[\s\x{85}\x{a0}\x{feff}]+$', '') as p from r where p is not null), v as (select p from b where json_valid(p)),
+t as (select replace(replace(fullkey, '"', ''), '$.', '$.') as path, case when type = 'OBJECT' then 'object' else 'scalar' end as kind from v, json_tree(v.p) where type not in ('NULL', 'ARRAY'))
+select path, kind, count(*) as n from t group by 1, 2""")
 def json_walk(spark: SparkSession, d: str) -> DataFrame:
     """Paths of the payload trees with the number of values."""
     f = table(spark, d, "rule_file_records").withColumn("rid", F.concat_ws(":", "feed_id", "file_seq", "line_no"))
     return tables.walk_json(f, "rid", "payload").groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""
+with m as (select doc_id, regexp_replace(regexp_replace(text, '(^|[^\d-])(\d{2,4}-\d-\d{1,6})($|[^\d-])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g'), '(^|[^\d\x01-])(\d{2,4}-\d-\d{1,6})($|[^\d-])', '\1' || chr(1) || '\2' || chr(2) || '\3', 'g') as t from documents where text is not null),
+b as (select doc_id, unnest(string_split(t, chr(1))[2:]) as x, generate_subscripts(string_split(t, chr(1))[2:], 1) as block from m),
+n as (select doc_id, block, split_part(x, chr(2), 1) as code, list_distinct(regexp_extract_all(split_part(x, chr(2), 2), '(?:^|[^0-9])(\d{2,7}-\d{2}-\d)(?:[^0-9]|$)', 1)) as ns from b)
+select doc_id, cast(block as integer) as block, code, unnest(case when len(ns) = 0 then [null] else ns end) as number from n""")
 def designation_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Codes of each text with the numbers that follow them."""
     return blocks.designation_pairs(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")
 
 
-@query("""
-with m as (select doc_id, regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)\\s*%\\s*(이상|초과|이하|미만)') as ms, regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)\\s*%\\s*(이상|초과|이하|미만)', 1) as v, regexp_extract_all(text, '(\\d+(?:\\.\\d+)?)\\s*%\\s*(이상|초과|이하|미만)', 2) as w from documents),
-u as (select doc_id, unnest(range(0, len(ms))) as ord, v, w from m) select doc_id, cast(ord as integer) as ord, cast(v[ord + 1] as double) as limit_pct, w[ord + 1] as word from u""".replace("\\\\", "\\"))
+@query(r"""
+with m as (select doc_id, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)') as ms, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 1) as v, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 2) as w from documents),
+u as (select doc_id, unnest(range(0, len(ms))) as ord, v, w from m) select doc_id, cast(ord as integer) as ord, cast(v[ord + 1] as double) as limit_pct, w[ord + 1] as word from u""")
 def text_limits(spark: SparkSession, d: str) -> DataFrame:
     return blocks.limits(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")
 

@@ -38,7 +38,7 @@ def designation_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-with m as (select doc_id, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)') as ms, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 1) as v, regexp_extract_all(text, '(\d+(?:\\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 2) as w from documents),
+with m as (select doc_id, regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%\s*(이상|초과|이하|미만)') as ms, regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 1) as v, regexp_extract_all(text, '(\d+(?:\.\d+)?)\s*%\s*(이상|초과|이하|미만)', 2) as w from documents),
 u as (select doc_id, unnest(range(0, len(ms))) as ord, v, w from m) select doc_id, cast(ord as integer) as ord, cast(v[ord + 1] as double) as limit_pct, w[ord + 1] as word from u""")
 def text_limits(spark: SparkSession, d: str) -> DataFrame:
     return blocks.limits(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("record_id", "doc_id")

@@ -8,7 +8,8 @@ keys. Only the rows of those keys are fetched and compared field by field.
 A bucket that can't be peeled falls back to the list of all its row hashes, so
 the result is exact whatever the share of differences.
 
-Keys are unique within a copy but for repeated deliveries, which count once.
+Keys are unique within a copy but for repeated deliveries, which count once; of
+deliveries with different content the one with the smallest row hash counts.
 Null and blank keys take no part. Fields are compared in the form of
 ``value_form``. Where a copy is empty, all rows of the other are on one side
 only. Extra columns of any name are ignored.
@@ -17,9 +18,10 @@ only. Extra columns of any name are ignored.
 from __future__ import annotations
 
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +85,27 @@ def peel(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "kh", "rh", "sign"])
 
 
+def _peeled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``peel`` of rows sorted by bucket; many buckets a batch, a bucket may span batches."""
+    held: list[pd.DataFrame] = []
+
+    def done(df: pd.DataFrame) -> pa.RecordBatch:
+        parts = [peel(part) for _, part in df.groupby("bucket", sort=False)]
+        return pa.RecordBatch.from_pandas(pd.concat(parts).astype({"bucket": "int32", "kh": "int64", "rh": "int64", "sign": "int32"}), preserve_index=False)
+
+    for b in batches:
+        held.append(b.to_pandas())
+        last = held[-1]["bucket"].iloc[-1] if len(held[-1]) else None
+        if last is None or held[0]["bucket"].iloc[0] == last:
+            continue
+        df = pd.concat(held)
+        held = [df[df["bucket"] == last]]
+        yield done(df[df["bucket"] != last])
+    held = [h for h in held if len(h)]
+    if held:
+        yield done(pd.concat(held))
+
+
 def cell_sums(items: DataFrame) -> DataFrame:
     """The subtracted tables: (bucket, cell, n, kh, rh, ck) of the cells that aren't empty."""
     ck = F.xxhash64("kh", "rh")
@@ -108,14 +131,15 @@ def differences(first_and_second: DataFrame, fields: dict[str, Sequence[str]], b
     form = lambda c: F.coalesce(value_form(F.col(c)), F.lit(""))
     rows = first_and_second.withColumn("kh", F.xxhash64("dataset", "key")).withColumn("bucket", F.pmod("kh", F.lit(buckets)).cast("int"))
     hashes = rows.select("bucket", "kh", "side", F.xxhash64(*[form(c) for c in columns]).alias("rh"))
-    items = hashes.repartition("bucket").groupBy("bucket", "kh", "side").agg(F.first("rh").alias("rh"))
-    peeled = cell_sums(items).groupBy("bucket").applyInPandas(peel, "bucket int, kh long, rh long, sign int")
+    items = hashes.repartition("bucket").groupBy("bucket", "kh", "side").agg(F.min("rh").alias("rh"))
+    # only cells that didn't cancel out are left
+    peeled = cell_sums(items).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_peeled, "bucket int, kh long, rh long, sign int")
     stuck = peeled.filter("sign = 0").select("bucket")
     listed = items.join(stuck, "bucket").groupBy("bucket", "kh", "rh").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(-1)).alias("sign")).filter("sign <> 0")
     differing = peeled.filter("sign <> 0").select("bucket", "kh").unionByName(listed.select("bucket", "kh")).distinct()
     differing = cut(differing)  # peeled once, however many tables are fetched from
-    fetched = rows.join(differing, ["bucket", "kh"], "left_semi").withColumn("vals", F.array(*[form(c) for c in columns]))
-    side = lambda n: F.max(F.when(F.col("side") == n, F.col("vals")))
+    fetched = rows.join(differing, ["bucket", "kh"], "left_semi").withColumns({"vals": F.array(*[form(c) for c in columns]), "rh": F.xxhash64(*[form(c) for c in columns])})
+    side = lambda n: F.min_by(F.when(F.col("side") == n, F.col("vals")), F.when(F.col("side") == n, F.col("rh")))
     both = fetched.groupBy("bucket", "kh", "dataset", "key").agg(side(0).alias("a"), side(1).alias("b"))
     changed = F.lit(None).cast("array<string>")
     for dataset, names in fields.items():

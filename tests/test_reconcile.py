@@ -54,3 +54,24 @@ def test_check_hash_is_the_sessions(spark):
 def test_peeling_a_full_table_gives_up():
     cells = pd.DataFrame({"bucket": [0] * 3, "cell": [0, 1, 2], "n": [2, 2, 2], "kh": [1, 1, 1], "rh": [1, 1, 1], "ck": [1, 1, 1]})
     assert R.peel(cells)["sign"].tolist() == [0]
+
+
+def test_buckets_that_span_batches():
+    import pandas as pd
+    import pyarrow as pa
+
+    rows = []
+    for bucket, keys in {1: [5, 6], 2: [7], 9: [8, 10, 11]}.items():
+        cells = {}
+        for k in keys:
+            ck = R._check(k, k * 3)
+            for j in range(R.PARTS):
+                i = j * R.CELLS + ((ck >> (j * R.SHIFT)) & R.MASK) % R.CELLS
+                c = cells.setdefault(i, [0, 0, 0, 0])
+                cells[i] = [c[0] + 1, c[1] ^ k, c[2] ^ (k * 3), c[3] ^ ck]
+        rows += [(bucket, i, *c) for i, c in cells.items()]
+    df = pd.DataFrame(rows, columns=["bucket", "cell", "n", "kh", "rh", "ck"])
+    for size in (1, 2, 5, 100):
+        batches = [pa.RecordBatch.from_pandas(df.iloc[i : i + size], preserve_index=False) for i in range(0, len(df), size)]
+        got = pd.concat([b.to_pandas() for b in R._peeled(iter(batches))])
+        assert sorted(zip(got["bucket"], got["kh"], got["sign"])) == [(1, 5, 1), (1, 6, 1), (2, 7, 1), (9, 8, 1), (9, 10, 1), (9, 11, 1)]

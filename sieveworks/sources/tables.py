@@ -102,16 +102,21 @@ def with_aliases(df: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
     return df.select(*[(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
 
 
-def _walk(node, path: str) -> Iterator[tuple[str, str, str]]:
+def _walk(node, path: str, out: list[tuple[str, str, str]]) -> str:
+    """Adds a tree's objects and scalars depth first, and gives its JSON text; each text is put together from those below it once."""
     if isinstance(node, dict):
-        yield path, "object", json.dumps(node, ensure_ascii=False, sort_keys=True)
-        for k, v in node.items():
-            yield from _walk(v, f"{path}.{k}")
-    elif isinstance(node, list):
-        for i, v in enumerate(node):
-            yield from _walk(v, f"{path}[{i}]")
-    elif node is not None:
-        yield path, "scalar", node if isinstance(node, str) else json.dumps(node)
+        at = len(out)
+        out.append((path, "object", ""))
+        below = {k: _walk(v, f"{path}.{k}", out) for k, v in node.items()}
+        text = "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {below[k]}" for k in sorted(below)) + "}"
+        out[at] = (path, "object", text)
+        return text
+    if isinstance(node, list):
+        return "[" + ", ".join(_walk(v, f"{path}[{i}]", out) for i, v in enumerate(node)) + "]"
+    text = json.dumps(node, ensure_ascii=False)
+    if node is not None:
+        out.append((path, "scalar", node if isinstance(node, str) else text))
+    return text
 
 
 def walk_json(df: DataFrame, record_id: str, column: str) -> DataFrame:
@@ -125,9 +130,10 @@ def walk_json(df: DataFrame, record_id: str, column: str) -> DataFrame:
                     tree = json.loads((text or "").strip().lstrip("\ufeff"))
                 except ValueError:
                     continue
-                for n, x in enumerate(_walk(tree, "$")):
-                    ids.append(i)
-                    rows.append((n, *x))
+                found: list[tuple[str, str, str]] = []
+                _walk(tree, "$", found)
+                ids += [i] * len(found)
+                rows += [(n, *x) for n, x in enumerate(found)]
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.string()) for c in cols[1:])], ["record_id", "ord", "path", "kind", "value"])
 

@@ -65,9 +65,14 @@ def _text(name: Column) -> Column:
     return F.element_at("fields", name).cast("string")
 
 
-def _hash(name: Column) -> Column:
-    """A field's value as a number, null for a null or absent one; what is compared and shuffled in its place."""
-    return F.when(_text(name).isNotNull(), F.xxhash64(_text(name)))
+def _merged(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """left joined with right by sorting both, whatever their estimated sizes.
+
+    Both grow with the number of files, and the planner takes a table of paths,
+    which comes out of parsed payloads, for a fiftieth of the compressed input:
+    it would send all of it to the driver to broadcast it.
+    """
+    return left.join(right.hint("merge"), list(keys), how)
 
 
 @lru_cache(4096)
@@ -146,18 +151,21 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataF
     files, and come as paths with points; they are added, removed or retyped.
 
     The statistics by file are summed before they are shuffled; values are
-    read again, and shuffled, only for steps where fields both go and come.
+    read again, and shuffled as 64-bit hashes, for steps where fields both go
+    and come. Nothing that grows with the files goes to the driver.
     """
     per_file = cut(path_kinds(recs, [feed, seq]))
-    files = per_file.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(Window.partitionBy(feed).orderBy(seq)))
-    steps = files.filter(F.col("prev").isNotNull())
+    order = Window.partitionBy(feed).orderBy(seq)
+    files = per_file.select(feed, seq).distinct().withColumn("prev", F.lag(seq).over(order)).withColumn("next", F.lead(seq).over(order))
     # each file as the later of one step and the earlier of the next
-    now = steps.join(per_file, [feed, seq]).select(feed, seq, "prev", "path", "parent", F.col("kinds").alias("k1"), F.lit(None).cast("int").alias("k0"))
-    before = steps.join(per_file.withColumnRenamed(seq, "prev"), [feed, "prev"]).select(feed, seq, "prev", "path", "parent", F.lit(None).cast("int").alias("k1"), F.col("kinds").alias("k0"))
-    both = cut(now.unionByName(before).groupBy(feed, seq, "prev", "path", "parent").agg(F.max("k0").alias("k0"), F.max("k1").alias("k1")).filter("k0 is null or k1 is null or k0 <> k1 or k0 >= 8"))
+    none = F.lit(None).cast("int")
+    step = lambda at, prev, k0, k1: F.struct(at.alias(seq), prev.alias("prev"), k0.alias("k0"), k1.alias("k1"))
+    placed = _merged(per_file, files, [feed, seq]).select(feed, "path", "parent", F.explode(F.array(step(F.col(seq), F.col("prev"), none, F.col("kinds")), step(F.col("next"), F.col(seq), F.col("kinds"), none))).alias("_s"))
+    steps = placed.select(feed, "_s.*", "path", "parent").filter(F.col("prev").isNotNull() & F.col(seq).isNotNull())
+    both = cut(steps.groupBy(feed, seq, "prev", "path", "parent").agg(F.max("k0").alias("k0"), F.max("k1").alias("k1")).filter("k0 is null or k1 is null or k0 <> k1 or k0 >= 8"))
     top, below = both.filter("parent = ''"), both.filter("parent <> ''")
     holds = both.filter("k0 = k1 and k0 >= 8").select(feed, seq, F.col("path").alias("parent"))
-    below = below.join(holds, [feed, seq, "parent"], "left_semi")
+    below = _merged(below, holds, [feed, seq, "parent"], "left_semi")
     gone = top.filter("k1 is null").select(feed, seq, "prev", F.col("path").alias("field_before"))
     come = top.filter("k0 is null").select(feed, seq, "prev", F.col("path").alias("field_after"))
 
@@ -165,8 +173,9 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataF
     turns = top.groupBy(feed, seq, "prev").agg(F.collect_set(F.when(F.col("k1").isNull(), F.col("path"))).alias("gone"), F.collect_set(F.when(F.col("k0").isNull(), F.col("path"))).alias("come")).filter("size(gone) > 0 and size(come) > 0")
     ident = _text(F.lit(identity))
     sides = turns.select(feed, seq, F.explode(F.array(F.struct(F.col("prev").alias("at"), F.lit(0).alias("side"), F.col("gone").alias("names")), F.struct(F.col(seq).alias("at"), F.lit(1).alias("side"), F.col("come").alias("names")))).alias("_s")).select(feed, seq, "_s.*")
-    held = recs.select(F.col(feed), F.col(seq).alias("at"), "fields").filter(ident.isNotNull()).join(sides, [feed, "at"])
-    held = held.select(feed, seq, "side", ident.alias("ident"), F.transform("names", lambda c: F.struct(c.alias("name"), _hash(c).alias("value"))).alias("vals"))
+    hashed = F.transform_values(F.col("fields").cast("map<string, string>"), lambda _, v: F.when(v.isNotNull(), F.xxhash64(v)))
+    held = _merged(recs.filter(ident.isNotNull()).select(F.col(feed), F.col(seq).alias("at"), ident.alias("ident"), hashed.alias("hashes")), sides, [feed, "at"])
+    held = held.select(feed, seq, "side", "ident", F.transform("names", lambda c: F.struct(c.alias("name"), F.element_at("hashes", c).alias("value"))).alias("vals"))
     mine = lambda side: F.max(F.when(F.col("side") == side, F.col("vals")))
     met = held.groupBy(feed, seq, "ident").agg(mine(0).alias("a"), mine(1).alias("b")).filter("a is not null and b is not null")
     x = met.select(feed, seq, F.explode("a").alias("a"), "b").select(feed, seq, "a", F.explode("b").alias("b"))
@@ -182,8 +191,8 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataF
     inner = F.when(F.col("k0").isNull(), "added").when(F.col("k1").isNull(), "removed").when((F.col("k0") > 0) & (F.col("k1") > 0) & (F.col("k0") != F.col("k1")), "retyped")
     nested = below.select(feed, seq, inner.alias("change_kind"), F.when(F.col("k0").isNull(), "").otherwise(shown).alias("field_before"), F.when(F.col("k1").isNull(), "").otherwise(shown).alias("field_after")).filter("change_kind is not null")
     return (
-        shape(come.join(renamed, [feed, seq, "field_after"], "left_anti"), "added", F.lit(""), F.col("field_after"))
-        .unionByName(shape(gone.join(renamed, [feed, seq, "field_before"], "left_anti"), "removed", F.col("field_before"), F.lit("")))
+        shape(_merged(come, renamed, [feed, seq, "field_after"], "left_anti"), "added", F.lit(""), F.col("field_after"))
+        .unionByName(shape(_merged(gone, renamed, [feed, seq, "field_before"], "left_anti"), "removed", F.col("field_before"), F.lit("")))
         .unionByName(shape(renamed, "renamed", F.col("field_before"), F.col("field_after")))
         .unionByName(shape(top.filter("k0 > 0 and k1 > 0 and k0 <> k1"), "retyped", F.col("path"), F.col("path")))
         .unionByName(nested)

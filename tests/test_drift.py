@@ -1,6 +1,7 @@
 import json
 
 from sieveworks.operators import drift
+from sieveworks.session import cut
 
 
 def recs(spark, files):
@@ -29,6 +30,19 @@ def test_rename_needs_most_values(spark):
     assert got == {(2, "removed", "n", ""), (2, "added", "", "m")}
 
 
+def test_no_table_of_files_goes_to_the_driver(spark, monkeypatch, tmp_path):
+    plans = []
+    planned = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(drift, "cut", lambda df: cut(planned(df)))
+    rows = [("f", s, n, json.dumps({"id": str(n), f"n{s}": {"v": n, f"w{s}": 1}})) for s in range(1, 5) for n in range(3)]
+    spark.createDataFrame(rows, "feed string, seq int, line int, payload string").write.parquet(f"{tmp_path}/t")  # files have a size to estimate from
+    read = drift.parsed(spark.read.parquet(f"{tmp_path}/t"), "payload", ["feed", "seq"], "line")
+    got = planned(drift.schema_changes(read, "feed", "seq", "id")).collect()
+    assert {tuple(r)[1:] for r in got} == {(s, k, x, y) for s in (2, 3, 4) for k, x, y in (("removed", f"n{s - 1}", ""), ("added", "", f"n{s}"))}
+    assert len(plans) == 4 and "SortMergeJoin" in "".join(plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_one_file_and_empty(spark):
     assert changes(spark, {1: [{"id": "1"}]}) == set()
     assert drift.schema_changes(recs(spark, {1: [None]}).limit(0), "feed", "seq", "id").count() == 0

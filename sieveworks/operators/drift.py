@@ -136,7 +136,8 @@ def path_kinds(recs: DataFrame, by: Sequence[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(take) for i in range(n)), pa.array(paths, pa.string()), pa.array(parents, pa.string()), pa.array(bits, pa.int32())], [*b.schema.names[:n], "path", "parent", "kinds"])
 
     kinds = ", ".join(f"`{c}` {recs.schema[c].dataType.simpleString()}" for c in by)
-    return seen.mapInArrow(run, f"{kinds}, path string, parent string, kinds int").groupBy(*by, "path", "parent").agg(F.bit_or("kinds").alias("kinds"))
+    # by file: what is summed up by file from these rows isn't shuffled again
+    return seen.mapInArrow(run, f"{kinds}, path string, parent string, kinds int").repartition(*by).groupBy(*by, "path", "parent").agg(F.bit_or("kinds").alias("kinds"))
 
 
 def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataFrame:
@@ -162,7 +163,8 @@ def schema_changes(recs: DataFrame, feed: str, seq: str, identity: str) -> DataF
     step = lambda at, prev, k0, k1: F.struct(at.alias(seq), prev.alias("prev"), k0.alias("k0"), k1.alias("k1"))
     placed = _merged(per_file, files, [feed, seq]).select(feed, "path", "parent", F.explode(F.array(step(F.col(seq), F.col("prev"), none, F.col("kinds")), step(F.col("next"), F.col(seq), F.col("kinds"), none))).alias("_s"))
     steps = placed.select(feed, "_s.*", "path", "parent").filter(F.col("prev").isNotNull() & F.col(seq).isNotNull())
-    both = cut(steps.groupBy(feed, seq, "prev", "path", "parent").agg(F.max("k0").alias("k0"), F.max("k1").alias("k1")).filter("k0 is null or k1 is null or k0 <> k1 or k0 >= 8"))
+    # by file, as the join sorted them: rows of a file stay beside each other and take less room in the shuffle
+    both = cut(steps.repartition(feed, seq).groupBy(feed, seq, "prev", "path", "parent").agg(F.max("k0").alias("k0"), F.max("k1").alias("k1")).filter("k0 is null or k1 is null or k0 <> k1 or k0 >= 8"))
     top, below = both.filter("parent = ''"), both.filter("parent <> ''")
     holds = both.filter("k0 = k1 and k0 >= 8").select(feed, seq, F.col("path").alias("parent"))
     below = _merged(below, holds, [feed, seq, "parent"], "left_semi")
